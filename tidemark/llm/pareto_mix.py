@@ -26,6 +26,8 @@ from . import _runtime
 
 WEIGHTS = (5, 2, 1)
 LEVELS, BITS = 4, 10
+#: Sources whose few numbers may be broadcast: some MB.
+BROADCAST = 50_000
 OUT = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -64,18 +66,18 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0
     weight: a document's own weight, over 0; by default the logarithm of its size.
     """
     run = _runtime.run_dir(docs.sparkSession, "mix")
-    sized = _runtime.table(_measured(docs, weight, seed).select("source", "_size", "_w", "_u"), f"{run}/sized").where("_size > 0")
-    sizes = docs.select(F.col("source").cast("string").alias("source")).distinct().join(sized.groupBy("source").agg(F.sum("_size").alias("_n")).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
-    targets = source_targets(sizes.select("source", F.coalesce("_n", F.lit(0)).alias("source_size")), weights, share, most)
+    sized = _runtime.table(_measured(docs, weight, seed).select("source", "_size", "_w", "_u"), f"{run}/sized")
+    targets = source_targets(sized.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, most)
+    sized = sized.where("_size > 0")
     scales = _scales(sized, targets, most, run)
-    cuts = _cuts(_coded(_join(sized, scales), most), scales, run)
+    cuts = _cuts(_coded(_join(sized, scales, True), most), scales, run)
     return _runtime.table(_join(scales, cuts).withColumns({"most": F.lit(float(most)), "cut": F.coalesce("cut", F.lit(-1))}), f"{run}/plan")
 
 
 def copies(docs: DataFrame, plan: DataFrame, weight: Column | None = None, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target, copies and taken (words taken, repeats counted)."""
     kept = [c for c in docs.columns if c not in OUT]
-    rows = _coded(_join(_measured(docs, weight, seed, kept), plan), F.col("most"))
+    rows = _coded(_join(_measured(docs, weight, seed, kept), plan, True), F.col("most"))
     n = F.when(F.col("_size") > 0, F.floor("_whole") + (F.col("_code") <= F.col("cut")).cast("int")).otherwise(0).cast("long")
     return rows.withColumn("copies", n).select(*[F.col(f"`{c}`") for c in kept], F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
 
@@ -90,21 +92,28 @@ def _measured(docs: DataFrame, weight: Column | None, seed: int, kept=()) -> Dat
     size = size_of(F.col("text"))
     w = F.greatest((weight if weight is not None else F.log1p(size)).cast("double"), F.lit(1e-9))
     extra = {"_size": size, "_w": F.coalesce(w, F.lit(1e-9)), "_u": F.xxhash64(F.lit(seed), "doc_id", "source", "text")}
-    return docs.select(*[F.col(f"`{c}`") for c in kept or ["source"]], *[v.alias(k) for k, v in extra.items()])
+    return docs.select(*([F.col(f"`{c}`") for c in kept] or [F.col("source").cast("string").alias("source")]), *[v.alias(k) for k, v in extra.items()])
 
 
-def _join(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows with their source's columns; null is a source like any other."""
+def _join(rows: DataFrame, sources: DataFrame, check: bool = False) -> DataFrame:
+    """Rows with their source's columns; null is a source like any other.
+
+    With check, sources is a written table: up to BROADCAST rows it is broadcast, so that rows
+    of a hot source stay where they are, and beyond that Spark joins by shuffle
+    and splits hot partitions.
+    """
     right = sources.withColumnRenamed("source", "_s")
+    if check and sources.count() <= BROADCAST:
+        right = F.broadcast(right)
     return rows.join(right, F.col("source").cast("string").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
 def _scales(sized: DataFrame, targets: DataFrame, most: float, run: str) -> DataFrame:
     """scale: copies a unit of weight, so that sum of size * min(most, scale * weight) is the target."""
-    state = targets.withColumn("scale", F.lit(0.0))
+    state = _runtime.table(targets.withColumn("scale", F.lit(0.0)), f"{run}/scale")
     for i in range(40):
         full = F.col("_w") * F.col("scale") >= most
-        sums = _join(sized, state.select("source", "scale")).groupBy("source").agg(F.coalesce(F.sum(F.when(full, F.col("_size"))), F.lit(0)).alias("_full"), F.coalesce(F.sum(F.when(~full, F.col("_size") * F.col("_w"))), F.lit(0.0)).alias("_open"))
+        sums = _join(sized, state.select("source", "scale"), True).groupBy("source").agg(F.coalesce(F.sum(F.when(full, F.col("_size"))), F.lit(0)).alias("_full"), F.coalesce(F.sum(F.when(~full, F.col("_size") * F.col("_w"))), F.lit(0.0)).alias("_open"))
         new = F.when(F.col("_open") > 0, (F.col("target") - most * F.col("_full")) / F.col("_open")).otherwise(F.col("scale"))
         state = _join(state, sums).withColumn("_new", F.coalesce(F.greatest(new, "scale"), F.lit(0.0)))
         state = _runtime.table(state.select("source", "source_size", "target", F.col("_new").alias("scale"), (F.col("_new") > F.col("scale") * (1 + 1e-12)).alias("_moved")), f"{run}/scale-{i}")
@@ -133,7 +142,7 @@ def _cuts(coded: DataFrame, scales: DataFrame, run: str) -> DataFrame:
     rows = coded.where(F.col("_code") < (1 << LEVELS * BITS) - 1).select("source", "_size", "_code")
     for level in range(LEVELS):
         low = (LEVELS - 1 - level) * BITS
-        own = _join(rows, state.select("source", "prefix")).where(F.shiftright("_code", low + BITS) == F.col("prefix"))
+        own = _join(rows, state.select("source", "prefix"), True).where(F.shiftright("_code", low + BITS) == F.col("prefix"))
         sums = own.groupBy("source", F.shiftright("_code", low).alias("b")).agg(F.sum("_size").alias("g"))
         w = Window.partitionBy("source").orderBy("b")
         upto = sums.withColumn("upto", F.sum("g").over(w)).withColumn("next", F.lead("b").over(w))
