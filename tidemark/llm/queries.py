@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, near_dedup, pareto_mix, url_filters
+from . import audio, bpe, fingerprints, lang_id, near_dedup, pareto_mix, url_filters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +21,24 @@ def op5_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(_documents(spark, sf_dir))
+
+
 def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = lang_id.fit(docs.select("doc_id", "text", "lang"), fold != 1)
+    out = lang_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_documents(spark, sf_dir))
 
@@ -67,5 +79,5 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op5_bottom_k_dedup, op7_bpe_transducer, op9_fingerprints, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op5_bottom_k_dedup, op6_audio_features, op7_bpe_transducer, op8_language_id, op9_fingerprints, op10_url_filters)}
 ORACLE_SQL = {"op10_url_filters": OP10_SQL}
