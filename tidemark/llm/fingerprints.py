@@ -97,7 +97,7 @@ def fingerprint_column(df: DataFrame, text: str = "text", out: str = "fingerprin
     return df.mapInArrow(run, schema)
 
 
-_EDITED = _runtime.schema("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+_EDITED = _runtime.schema("doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
 
 
 def _edited(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
@@ -105,9 +105,9 @@ def _edited(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch
     n = [len(t) for t in texts]
     edited = [t[: k - k // 3] + f[: k // 3] for t, k, f in zip(texts, n, following)]
     own, new, after = (fingerprints(pa.array(x, pa.large_string())) for x in (texts, edited, following))
-    hexes = lambda p: [r.tobytes().hex() for r in p]
-    cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), [hashlib.sha256(t.encode()).hexdigest() for t in edited], hexes(own), hexes(new), likeness(own, new), likeness(own, after)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _EDITED.names)
+    raw = lambda p: pa.array([r.tobytes() for r in p], pa.binary())
+    shas = pa.array([hashlib.sha256(t.encode()).digest() for t in edited], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), shas, raw(own), raw(new), pa.array(likeness(own, new)), pa.array(likeness(own, after))], _EDITED.names)
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
         def edge(kind, doc_id, text):
             cols = {"doc_id": pa.array([doc_id], pa.int64()), "_part": pa.array([part], pa.int32()), "_edge": pa.array([kind]), "_text": pa.array([text])}
-            return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(1, pa.int64() if f.name == "n_chars" else pa.float64() if f.name.startswith("near") else pa.string())) for f in schema.fields], schema.names)
+            return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(1, pa.int64() if f.name == "n_chars" else pa.float64() if f.name.startswith("near") else pa.string() if f.name.startswith("_") else pa.binary())) for f in schema.fields], schema.names)
 
         for x in batches:
             ids, texts = x.column("doc_id").to_pylist(), x.column("text").to_pylist()
@@ -163,4 +163,5 @@ def with_edits(docs: DataFrame) -> DataFrame:
             if x.num_rows:
                 yield _edited(*(c.to_pylist() for c in x.columns))
 
-    return made.where(F.col("_edge").isNull()).select(*_EDITED.names).unionByName(pairs.mapInArrow(last, _EDITED))
+    out = made.where(F.col("_edge").isNull()).select(*_EDITED.names).unionByName(pairs.mapInArrow(last, _EDITED))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
