@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, bpe, fingerprints, lang_id, near_dedup, pareto_mix, quality, url_filters
+from . import audio, bpe, fingerprints, lang_id, near_dedup, pareto_mix, passages, quality, url_filters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.copies(docs, pareto_mix.plan(docs)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(_documents(spark, sf_dir))
+
+
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -85,5 +89,5 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op3_kneser_ney, op5_bottom_k_dedup, op6_audio_features, op7_bpe_transducer, op8_language_id, op9_fingerprints, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_compact_windows, op3_kneser_ney, op5_bottom_k_dedup, op6_audio_features, op7_bpe_transducer, op8_language_id, op9_fingerprints, op10_url_filters)}
 ORACLE_SQL = {"op10_url_filters": OP10_SQL}
