@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import _runtime, _text
 from .components import components
@@ -296,3 +296,42 @@ def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
     labels = ids.join(tops, "comp").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def noded(docs: DataFrame) -> DataFrame:
+    """docs with `_node`, the node of each text (null without words)."""
+    _runtime.tune(docs.sparkSession)
+    kept = [f for f in docs.schema.fields if f.name != "_node"]
+    schema = T.StructType([*kept, T.StructField("_node", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            _, counts, nodes = _sets(x.column("text"))
+            made = pa.array([k.tobytes() if c else None for k, c in zip(nodes, counts.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[x.column(f.name) for f in kept], made], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def deduped(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """docs without those that have a linked document of a lesser doc_id; texts without words stay.
+
+    Of repeated rows one stays: documents of one group and one id with the least
+    node, and of equal rows the first.
+    """
+    spark = docs.sparkSession
+    run = _runtime.run_dir(spark, "near")
+    rows = _runtime.table(sketches(docs), f"{run}/sketches")
+    leads = rows.where("lead")
+    lists = _runtime.table(_lists(leads, _common(leads), percent), f"{run}/lists")
+    groups = links(lists, docs, leads, percent, run)
+    own = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id")).alias("first"), F.count("*").alias("c"))
+    own = own.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    stay = own.groupBy("comp").agg(F.min(F.struct("first", "node")).alias("s")).select(F.col("s.node").alias("_n"), F.col("s.first.doc_id").alias("_d"))
+    stay = _runtime.table(stay, f"{run}/stay")
+    named = noded(docs)
+    left = named.join(stay, (F.col("_node") == F.col("_n")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
+    twice = rows.join(stay, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").groupBy("node", "doc_id").count().where("count > 1")
+    if twice.head(1):
+        left = left.dropDuplicates(["_node"])
+    return left.unionByName(named.where("_node is null")).drop("_node")
