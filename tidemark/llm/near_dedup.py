@@ -8,11 +8,13 @@ form groups.
    whole set) are one node from here on, so copies never meet in pairs.
 2. Inverted lists of retained values.  A linked pair shares at least `shared`
    of its retained values, so it shares one among the first
-   (retained - shared + 1) in any common order; only these are filed.  Values
-   that a sample finds often come last in that order, which keeps the lists of
-   common lines and passages short; the sample decides the order, never the result.
+   (retained - shared + 1) in any common order; only these are filed.  The order
+   is by frequency, rarest first, counted over all documents in packed blocks:
+   values of common lines and passages are hardly ever filed, and values that
+   one node alone retains make no list.
 3. Each list proposes its members against one pivot, the member with the most
-   widely shared values: candidates are linear in the list.
+   widely shared values; lists of up to SMALL members propose all their pairs.
+   Candidates are linear in the list.
 4. The union sketch (the K least of both) estimates similarity; what falls below
    shared / K goes.  Exact Jaccard on full sets confirms the rest.
 5. Lists whose members are not all in one group yet have further pivots, in
@@ -39,10 +41,10 @@ from . import _runtime, _text
 from .components import components
 
 K, SHARED = 128, 77
-#: Documents in the sample that finds common values, and how many of those are kept.
-SAMPLE, COMMON = 20_000, 50_000
+#: Lists of up to so many members propose all their pairs at once.
+SMALL = 8
 FILTER_BITS = 22
-_SKETCH = "doc_id long, n_shingles long, node binary, lead boolean, sketch array<long>"
+_SKETCH = "doc_id long, n_shingles long, node binary, batch long, nodes binary, sizes binary, values binary"
 
 
 def _nodes(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -63,13 +65,19 @@ def _sets(texts: pa.Array):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node, lead (first of its node in a task), sketch of lead rows."""
+    """A row a document (doc_id, n_shingles, node) and a row a batch (batch, nodes, sizes, values).
+
+    The latter packs the set size and the retained values of each node that the
+    task had not met before.
+    """
     _runtime.tune(docs.sparkSession)
     schema = _runtime.schema(_SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         seen: set[bytes] = set()
-        for x in batches:
+        for number, x in enumerate(batches):
             values, counts, nodes = _sets(x.column("text"))
             keys = [k.tobytes() for k in nodes]
             lead = np.zeros(len(counts), bool)
@@ -77,62 +85,97 @@ def sketches(docs: DataFrame) -> DataFrame:
                 if keys[i] not in seen:
                     seen.add(keys[i])
                     lead[i] = True
-            take = np.where(lead, np.minimum(counts, K), 0)
-            at = np.concatenate([[0], np.cumsum(counts)])[:-1]
-            rows = np.repeat(np.arange(len(counts)), take)
-            step = np.arange(len(rows)) - np.repeat(np.concatenate([[0], np.cumsum(take)])[:-1], take)
-            kept = values[at[rows] + step].view(np.int64)
-            sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(kept))
             node = pa.array([k if c else None for k, c in zip(keys, counts.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(counts, pa.int64()), node, pa.array(lead), sketch], schema.names)
+            n = len(counts)
+            rest = [pa.nulls(n, f) for f in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(counts, pa.int64()), node, *rest], schema.names)
+            if lead.any():
+                take = np.where(lead, np.minimum(counts, K), 0)
+                at = np.concatenate([[0], np.cumsum(counts)])[:-1]
+                step = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
+                kept = values[np.repeat(at, take) + step]
+                own = [TaskContext.get().partitionId() << 32 | number, nodes[lead].tobytes(), counts[lead].astype(np.int64).tobytes(), kept.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *[pa.array([v], pa.int64() if i == 0 else pa.binary()) for i, v in enumerate(own)]], schema.names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def _distinct_values(values: bytes, shards: int):
+    """A batch's distinct values in order of shard, with their numbers and where each shard begins."""
+    v, n = np.unique(np.frombuffer(values, np.uint64), return_counts=True)
+    shard = (v >> np.uint64(20)) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    return v[order], n[order], np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+
+
+def _frequencies(packed: DataFrame, shards: int) -> DataFrame:
+    """batch, shard, counts: in how many nodes each distinct value of a batch is retained, up to 65535.
+
+    Values travel in one block a batch and shard, already summed in their batch;
+    the answers go back in the same order.
+    """
+    ask = _runtime.schema("batch long, shard int, values binary, counts binary")
+    answer = _runtime.schema("batch long, shard int, counts binary")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for batch, values in zip(x.column("batch").to_pylist(), x.column("values").to_pylist()):
+                v, n, at = _distinct_values(values, shards)
+                rows = [(batch, k, v[at[k] : at[k + 1]].tobytes(), n[at[k] : at[k + 1]].astype(np.uint32).tobytes()) for k in range(shards) if at[k + 1] > at[k]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ask.names)
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for x in batches for r in zip(*(c.to_pylist() for c in x.columns))]
+        if not rows:
+            return
+        v = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
+        n = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows])
+        _, own = np.unique(v, return_inverse=True)
+        total = np.minimum(np.bincount(own, n), 65535).astype(np.uint16)[own]
+        at = np.concatenate([[0], np.cumsum([len(r[2]) // 8 for r in rows])]).tolist()
+        made = [total[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array(made, pa.binary())], answer.names)
+
+    return packed.select("batch", "values").mapInArrow(send, ask).repartition(shards, "shard").mapInArrow(reply, answer)
+
+
 def _needed(n: int, percent: int) -> int:
     """How many retained values a set of n shares with any set it is linked with."""
     exact = -(-n * percent // 100)
     return exact if n * 100 <= (K - 1) * percent else min(SHARED, exact)
 
 
-def _lists(leads: DataFrame, common: dict[int, int], percent: int) -> DataFrame:
-    """The filed values of each node: v, node, n, pop (how widely its values are shared)."""
+def _lists(packed: DataFrame, percent: int) -> DataFrame:
+    """The filed values that several nodes share: v, node, n, pop (how widely a node's values are shared)."""
+    shards = _runtime.partitions(packed)
     schema = _runtime.schema("v long, node binary, n long, pop long")
-    names = np.array(sorted(common), np.int64)
-    often = np.array([common[x] for x in names.tolist()] + [0], np.int64)
+    answers = _frequencies(packed, shards).groupBy("batch").agg(F.collect_list(F.struct("shard", "counts")).alias("answers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            if not x.num_rows:
-                continue
-            lists = x.column("sketch")
-            off = np.asarray(lists.offsets)
-            values = np.asarray(lists.values)[off[0] : off[-1]]
-            off = off - off[0]
-            at = np.searchsorted(names, values)
-            hit = (names[np.minimum(at, max(0, len(names) - 1))] == values) if len(names) else np.zeros(len(values), bool)
-            seen = np.where(hit, often[np.where(hit, at, -1)], 0)
-            n = np.asarray(x.column("n_shingles"))
-            kept, sizes, pop = [], [], []
-            for a, b, k in zip(off[:-1].tolist(), off[1:].tolist(), n.tolist()):
-                p = (b - a) - _needed(k, percent) + 1
-                s = seen[a:b]
-                v = values[a:b]
-                kept.append(v[:p] if not s.any() else v[np.argsort(s, kind="stable")[:p]])
-                sizes.append(p)
-                pop.append(int(s.sum()))
-            rows = np.repeat(np.arange(len(n)), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept)), x.column("node").take(pa.array(rows)), pa.array(n[rows]), pa.array(np.array(pop, np.int64)[rows])], schema.names)
-
-    return leads.select("node", "n_shingles", "sketch").mapInArrow(run, schema)
-
-
-def _common(leads: DataFrame) -> dict[int, int]:
-    """At most COMMON values that several sampled documents retain, with their counts."""
-    n = leads.count()
-    part = leads.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // SAMPLE))) == 0)
-    seen = part.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where("c > 2")
-    return {r["v"]: r["c"] for r in seen.orderBy(F.desc("c"), "v").limit(COMMON).collect()}
+            for nodes, sizes, values, parts in zip(*(x.column(c).to_pylist() for c in ("nodes", "sizes", "values", "answers"))):
+                yield _filed(nodes, np.frombuffer(sizes, np.int64), values, parts)
+
+    def _filed(nodes: bytes, sizes: np.ndarray, raw: bytes, parts: list) -> pa.RecordBatch:
+        asked, _, _ = _distinct_values(raw, shards)
+        often = np.concatenate([np.frombuffer(p["counts"], np.uint16) for p in sorted(parts, key=lambda p: p["shard"])]).astype(np.int64)
+        order = np.argsort(asked)
+        values = np.frombuffer(raw, np.uint64)
+        seen = often[order][np.searchsorted(asked[order], values)]
+        at = np.concatenate([[0], np.cumsum(np.minimum(sizes, K))]).tolist()
+        kept, rows, pop = [], [], np.zeros(len(sizes), np.int64)
+        for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+            own = seen[a:b]
+            pop[i] = own.sum()
+            first = np.argsort(own, kind="stable")[: (b - a) - _needed(int(sizes[i]), percent) + 1]
+            first = first[own[first] > 1]  # a value of one node makes no list
+            kept.append(values[a:b][first])
+            rows.append(np.full(len(first), i))
+        rows = np.concatenate(rows)
+        names = pa.array([nodes[16 * i : 16 * i + 16] for i in range(len(sizes))], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), names.take(pa.array(rows)), pa.array(sizes[rows]), pa.array(pop[rows])], schema.names)
+
+    return packed.select("batch", "nodes", "sizes", "values").join(answers, "batch").mapInArrow(run, schema)
 
 
 def _near(a, b, percent: int):
@@ -140,9 +183,9 @@ def _near(a, b, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def _wanted(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits that holds the nodes of pairs: its size is fixed."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("x")).select(F.pmod(F.crc32("x"), F.lit(1 << FILTER_BITS)).alias("x")).distinct()
+def _wanted(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of 2**FILTER_BITS bits that holds the nodes: its size is fixed."""
+    ids = nodes.select(F.pmod(F.crc32("node"), F.lit(1 << FILTER_BITS)).alias("x")).distinct()
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[np.array(ids.toPandas()["x"], np.int64)] = True
     return np.packbits(bits)
@@ -155,10 +198,10 @@ def _has(bits: np.ndarray, keys: list) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & np.array([k is not None for k in keys], bool)
 
 
-def _full_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, payload: the full sets of (at least) the nodes of pairs."""
-    bits = docs.sparkSession.sparkContext.broadcast(_wanted(pairs))
-    schema = _runtime.schema("node binary, payload binary")
+def _pool(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, sketch, whole: the sets of (at least) the given nodes, read from docs once."""
+    bits = docs.sparkSession.sparkContext.broadcast(_wanted(nodes))
+    schema = _runtime.schema("node binary, sketch binary, whole binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()
@@ -170,25 +213,24 @@ def _full_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for i in np.flatnonzero(_has(bits.value, keys)).tolist():
                 if keys[i] not in done:
                     done.add(keys[i])
-                    out.append((keys[i], values[at[i] : at[i + 1]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary())], schema.names)
+                    v = values[at[i] : at[i + 1]]
+                    out.append((keys[i], v[:K].tobytes(), v.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.binary()) for j in range(3)], schema.names)
 
     return docs.select("text").mapInArrow(run, schema).dropDuplicates(["node"])
 
 
-def _small_sets(leads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, payload: the sketches of (at least) the nodes of pairs."""
-    bits = leads.sparkSession.sparkContext.broadcast(_wanted(pairs))
+def _payload(pool: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """node, payload of (at least) the nodes of pairs."""
+    bits = pool.sparkSession.sparkContext.broadcast(_wanted(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
     schema = _runtime.schema("node binary, payload binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            keys = x.column("node").to_pylist()
-            rows = np.flatnonzero(_has(bits.value, keys)).tolist()
-            lists = x.column("sketch")
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in rows], pa.binary()), pa.array([np.asarray(lists[i].values).tobytes() for i in rows], pa.binary())], schema.names)
+            ok = pa.array(_has(bits.value, x.column("node").to_pylist()))
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in x.columns], schema.names)
 
-    return leads.select("node", "sketch").mapInArrow(run, schema).dropDuplicates(["node"])
+    return pool.select("node", F.col(column).alias("payload")).mapInArrow(run, schema)
 
 
 def _estimate(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -221,53 +263,57 @@ def _passing(pairs: DataFrame, sets: DataFrame, test, percent: int) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, leads: DataFrame, percent: int, path: str) -> DataFrame:
-    likely = _runtime.table(_passing(pairs, _small_sets(leads, pairs), _estimate, percent), f"{path}/likely")
-    return _runtime.table(_passing(likely, _full_sets(docs, likely), _exact, percent), f"{path}/links")
+def _verified(pairs: DataFrame, pool: DataFrame, percent: int, path: str) -> DataFrame:
+    likely = _runtime.table(_passing(pairs, _payload(pool, pairs, "sketch"), _estimate, percent), f"{path}/likely")
+    return _runtime.table(_passing(likely, _payload(pool, likely, "whole"), _exact, percent), f"{path}/links")
+
+
+def grouped(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, node of each document; node, comp of all nodes with a link."""
+    run = _runtime.run_dir(docs.sparkSession, "near")
+    made = _runtime.table(sketches(docs), f"{run}/sketches")
+    lists = _runtime.table(_lists(made.where("batch is not null"), percent), f"{run}/lists")
+    return made.where("batch is null").select("doc_id", "n_shingles", "node"), links(lists, docs, percent, run)
 
 
 def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (least doc_id of its group), node."""
-    spark = docs.sparkSession
-    run = _runtime.run_dir(spark, "near")
-    rows = _runtime.table(sketches(docs), f"{run}/sketches")
-    leads = rows.where("lead")
-    lists = _runtime.table(_lists(leads, _common(leads), percent), f"{run}/lists")
-    groups = links(lists, docs, leads, percent, run)
-    return _labelled(rows, groups)
-
-
-def links(lists: DataFrame, docs: DataFrame, leads: DataFrame, percent: int, run: str) -> DataFrame:
-    """node, comp of all nodes with a link."""
+    """One row a document: doc_id, n_shingles, component_id (least doc_id of its group)."""
+    return _labelled(*grouped(docs, percent))
+
+
+def links(lists: DataFrame, docs: DataFrame, percent: int, run: str) -> DataFrame:
+    """node, comp of all nodes with a link. lists: v, node, n, pop."""
     best = F.max(F.struct("pop", F.col("node").alias("b"), F.col("n").alias("m")))
     shared = lists.groupBy("v").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count("*").alias("c"), best.alias("p")).where("_lo <> _hi")
     members = lists.join(shared.select("v", "c", "p"), "v")
     members = _runtime.table(members.select("v", "node", "n", "pop", "c", F.col("p.b").alias("b"), F.col("p.m").alias("m")), f"{run}/members")
-    pairs = members.where((F.col("node") != F.col("b")) & _near(F.col("n"), F.col("m"), percent)).select(F.col("node").alias("a"), "b").distinct()
-    pairs = _runtime.table(pairs, f"{run}/pairs-0")
-    found = _verified(pairs, docs, leads, percent, f"{run}/r0")
+    pool = _runtime.table(_pool(docs, members.select("node")), f"{run}/pool")
+    star = members.where((F.col("node") != F.col("b")) & _near(F.col("n"), F.col("m"), percent)).select("node", "b")
+    small = members.where(F.col("c").between(3, SMALL)).select("v", "node", "n")
+    other = small.select("v", F.col("node").alias("b"), F.col("n").alias("m"))
+    every = small.join(other, "v").where((F.col("node") > F.col("b")) & _near(F.col("n"), F.col("m"), percent)).select("node", "b")
+    pairs = _runtime.table(star.unionByName(every).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), f"{run}/pairs-0")
+    found = _verified(pairs, pool, percent, f"{run}/r0")
     groups = _runtime.table(components(found, f"{run}/c0"), f"{run}/groups-0")
-    left = members.where("c > 2 and node <> b").select("v", "node", "n", "pop").distinct()
-    tried, block, turn = pairs, 4, 0
+    left = members.where((F.col("c") > SMALL) & (F.col("node") != F.col("b"))).select("v", "node", "n", "pop").distinct()
+    tried, block, turn = pairs, 8, 0
     while True:
         turn += 1
-        left = _open_lists(left, groups)
-        left = _runtime.table(left, f"{run}/open-{turn}")
+        left = _runtime.table(_open_lists(left, groups), f"{run}/open-{turn}")
         if not left.head(1):
             return groups
         pivots = _top(left, block)
         new = left.join(pivots, "v").where((F.col("comp") != F.col("bcomp")) & _near(F.col("n"), F.col("m"), percent))
         new = new.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        old = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        new = _runtime.table(new.join(old, ["a", "b"], "left_anti"), f"{run}/pairs-{turn}")
+        new = _runtime.table(new.join(tried, ["a", "b"], "left_anti"), f"{run}/pairs-{turn}")
         if new.head(1):
-            more = _verified(new, docs, leads, percent, f"{run}/r{turn}")
+            more = _verified(new, pool, percent, f"{run}/r{turn}")
             found = found.unionByName(more)
             if more.head(1):
                 groups = _runtime.table(components(found, f"{run}/c{turn}"), f"{run}/groups-{turn}")
             tried = tried.unionByName(new)
         left = left.drop("comp").join(pivots.select("v", F.col("b").alias("node")), ["v", "node"], "left_anti")
-        block *= 2
+        block *= 4
 
 
 def _open_lists(left: DataFrame, groups: DataFrame) -> DataFrame:
@@ -319,12 +365,8 @@ def deduped(docs: DataFrame, percent: int = 85) -> DataFrame:
     Of repeated rows one stays: documents of one group and one id with the least
     node, and of equal rows the first.
     """
-    spark = docs.sparkSession
-    run = _runtime.run_dir(spark, "near")
-    rows = _runtime.table(sketches(docs), f"{run}/sketches")
-    leads = rows.where("lead")
-    lists = _runtime.table(_lists(leads, _common(leads), percent), f"{run}/lists")
-    groups = links(lists, docs, leads, percent, run)
+    run = _runtime.run_dir(docs.sparkSession, "kept")
+    rows, groups = grouped(docs, percent)
     own = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id")).alias("first"), F.count("*").alias("c"))
     own = own.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     stay = own.groupBy("comp").agg(F.min(F.struct("first", "node")).alias("s")).select(F.col("s.node").alias("_n"), F.col("s.first.doc_id").alias("_d"))
