@@ -1,4 +1,6 @@
 """Registered queries of the table engine."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import events, functions, lifecycle
+
+QUERIES = {**events.QUERIES, **lifecycle.QUERIES, **functions.QUERIES}
+ORACLE_SQL = {**events.SQL, **lifecycle.SQL, **functions.SQL}
