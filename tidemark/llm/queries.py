@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, bpe, fingerprints, lang_id, near_dedup, pareto_mix, passages, quality, url_filters
+from . import audio, bpe, fingerprints, lang_id, lm_trie, near_dedup, pareto_mix, passages, quality, url_filters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,13 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "lang", "text"), model).drop("text")
 
 
+def op4_ef_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", lm_trie.held_out(F.col("doc_id")).alias("held_out"), "text")
+    model = lm_trie.train(docs.where(~F.col("held_out")))
+    out = lm_trie.score(docs, model)
+    return out.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 def op5_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.classes(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -89,5 +96,5 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_compact_windows, op3_kneser_ney, op5_bottom_k_dedup, op6_audio_features, op7_bpe_transducer, op8_language_id, op9_fingerprints, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_compact_windows, op3_kneser_ney, op4_ef_trie, op5_bottom_k_dedup, op6_audio_features, op7_bpe_transducer, op8_language_id, op9_fingerprints, op10_url_filters)}
 ORACLE_SQL = {"op10_url_filters": OP10_SQL}
