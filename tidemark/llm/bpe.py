@@ -61,6 +61,7 @@ class Merges:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.arange(len(keys), dtype=np.int64)[order]
         self.made = np.array([vocab[a + b] for a, b in rules], np.int64)[order]
+        self._rules: dict = {}
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Index of the rule for each pair, or -1."""
@@ -129,7 +130,9 @@ class Merges:
         ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
         n = len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        rules = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        if not self._rules:  # long words are rare: made when the first one comes
+            self._rules.update(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        rules = self._rules
         heap = [(rules[k][0], i, k) for i in range(n - 1) if (k := ids[i] << 32 | ids[i + 1]) in rules]
         heapq.heapify(heap)
         while heap:
