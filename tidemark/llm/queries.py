@@ -23,7 +23,7 @@ def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs.select("doc_id", "lang", "text"), model).drop("text")
+    return quality.score(docs.select("doc_id", "lang", "text"), model).drop("text").withColumnRenamed("keep", "kept")
 
 
 def op4_ef_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
