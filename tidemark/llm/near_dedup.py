@@ -17,12 +17,12 @@ form groups.
    Candidates are linear in the list.
 4. The union sketch (the K least of both) estimates similarity; what falls below
    shared / K goes.  Exact Jaccard on full sets confirms the rest.
-5. Lists whose members are not all in one group yet have further pivots, in
-   blocks that double, until each pair has met a pivot or is in one group: every
-   pair that shares a filed value is linked, met or redundant.
+5. Where the members of a pivot's lists are in more than one group still, they
+   meet in blocks, each two blocks in one task that compares all their sets: every
+   pair that shares a filed value is linked, compared or redundant.
 
-For sets of up to 108 shingles step 2 is exact; for larger ones a pair at the
-threshold shares fewer than 77 of 128 with a probability below 1e-11.
+For sets of up to 216 shingles step 2 is exact; for larger ones a pair at the
+threshold shares fewer than 176 of 256 with a probability below 1e-10.
 
 Cases: texts without words have no set, are linked with nothing and keep their
 own id; fewer than five words are one shingle; a null doc_id never names a group
@@ -35,14 +35,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _runtime, _text
 from .components import components
 
-K, SHARED = 128, 77
+K, SHARED = 256, 176
 #: Lists of up to so many members propose all their pairs at once.
 SMALL = 8
+#: Members of a pivot that meet in one block.
+BLOCK = 192
 FILTER_BITS = 22
 _SKETCH = "doc_id long, n_shingles long, node binary, batch long, nodes binary, sizes binary, values binary"
 
@@ -295,44 +297,79 @@ def links(lists: DataFrame, docs: DataFrame, percent: int, run: str) -> DataFram
     pairs = _runtime.table(star.unionByName(every).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), f"{run}/pairs-0")
     found = _verified(pairs, pool, percent, f"{run}/r0")
     groups = _runtime.table(components(found, f"{run}/c0"), f"{run}/groups-0")
-    left = members.where((F.col("c") > SMALL) & (F.col("node") != F.col("b"))).select("v", "node", "n", "pop").distinct()
-    tried, block, turn = pairs, 8, 0
-    while True:
-        turn += 1
-        left = _runtime.table(_open_lists(left, groups), f"{run}/open-{turn}")
-        if not left.head(1):
-            return groups
-        pivots = _top(left, block)
-        new = left.join(pivots, "v").where((F.col("comp") != F.col("bcomp")) & _near(F.col("n"), F.col("m"), percent))
-        new = new.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        new = _runtime.table(new.join(tried, ["a", "b"], "left_anti"), f"{run}/pairs-{turn}")
-        if new.head(1):
-            more = _verified(new, pool, percent, f"{run}/r{turn}")
-            found = found.unionByName(more)
-            if more.head(1):
-                groups = _runtime.table(components(found, f"{run}/c{turn}"), f"{run}/groups-{turn}")
-            tried = tried.unionByName(new)
-        left = left.drop("comp").join(pivots.select("v", F.col("b").alias("node")), ["v", "node"], "left_anti")
-        block *= 4
-
-
-def _open_lists(left: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members, with their group, of the lists that hold more than one group."""
-    now = left.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = now.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    return now.join(mixed.select("v"), "v")
-
-
-def _top(left: DataFrame, block: int) -> DataFrame:
-    """The next pivots of each list: the `block` members of the most widely shared values.
-
-    Ranked within slices of a list first, so that no task ranks a whole long list.
+    more = _runtime.table(_in_blocks(members, groups, pool, percent), f"{run}/blocks")
+    if not more.head(1):
+        return groups
+    return _runtime.table(components(found.unionByName(more), f"{run}/c1"), f"{run}/groups-1")
+
+
+def _in_blocks(members: DataFrame, groups: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """Links a, b among the members of one pivot's lists, where those are in several groups still.
+
+    Members are dealt into blocks of about BLOCK by hash, and each two blocks meet
+    in one task, which compares all their sets and returns at most one link a
+    member: so many rows a member as its pivot has blocks, and no pairs.
     """
-    order = [F.desc("pop"), F.col("node")]
-    sliced = left.withColumn("s", F.pmod(F.xxhash64("node"), F.lit(64)))
-    part = sliced.withColumn("r", F.row_number().over(Window.partitionBy("v", "s").orderBy(*order))).where(F.col("r") <= block)
-    top = part.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(*order))).where(F.col("r") <= block)
-    return top.select("v", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("bcomp"))
+    own = members.select("node", "b").unionByName(members.select(F.col("b").alias("node"), "b")).distinct()
+    now = own.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = now.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    open_ = now.join(mixed.select("b", blocks.alias("k")), "b").join(pool.select("node", "whole"), "node")
+    at = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    dealt = open_.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("b", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "node", "comp", "whole")
+    n = _runtime.partitions(members)
+    schema = _runtime.schema("a binary, b binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, comps, sets, out = None, [], [], [], []
+        for x in batches:
+            for k, node, comp, whole in zip(zip(*(x.column(c).to_pylist() for c in "bij")), *(x.column(c).to_pylist() for c in ("node", "comp", "whole"))):
+                if k != key:
+                    out += _compared(nodes, comps, sets, percent)
+                    key, nodes, comps, sets = k, [], [], []
+                nodes.append(node)
+                comps.append(comp)
+                sets.append(np.frombuffer(whole, np.uint64))
+        out += _compared(nodes, comps, sets, percent)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in range(2)], schema.names)
+
+    return dealt.repartition(n, "b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(run, schema)
+
+
+def _compared(nodes: list[bytes], comps: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join groups among some sets, as a forest, from the sizes of all intersections."""
+    m = len(nodes)
+    if len(set(comps)) < 2:
+        return []
+    size = np.array([len(s) for s in sets])
+    values, own = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(own) > 1
+    name = np.cumsum(often) - 1
+    keep = often[own]
+    row, column = np.repeat(np.arange(m), size)[keep], name[own[keep]]
+    both = np.zeros((m, m), np.float32)
+    for a in range(0, int(often.sum()), 4096):
+        some = (column >= a) & (column < a + 4096)
+        x = np.zeros((m, 4096), np.float32)
+        x[row[some], column[some] - a] = 1
+        both += x @ x.T
+    first: dict[bytes, int] = {}
+    top = [first.setdefault(c, i) for i, c in enumerate(comps)]
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size - both), 1))):
+        p, q = find(int(i)), find(int(j))
+        if p != q:
+            top[max(p, q)] = min(p, q)
+            out.append((nodes[i], nodes[j]))
+    return out
 
 
 def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
