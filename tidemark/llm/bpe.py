@@ -379,11 +379,25 @@ def word_counts(docs: DataFrame, added: Sequence[bytes]) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, merges: Merges, size: int = LEXICON) -> str:
-    """Compile the `size` most frequent words of docs; returns the file's path in the shared folder."""
-    top = word_counts(docs, list(merges.added)).where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(size)
-    words = [bytes(r[0]) for r in top.select("word").collect() if bytes(r[0]) not in merges.added]
-    path = f"{_runtime.run_dir(docs.sparkSession, 'lexicon')}/words.fst"
+    """Compile at most `size` of the most frequent words of docs; returns the file's path in the shared folder.
+
+    How many words have which frequency (in sixteenths of a power of two: some
+    hundred numbers) tells from what frequency on all words fit, so nothing is sorted.
+    """
+    run = _runtime.run_dir(docs.sparkSession, "lexicon")
+    counts = word_counts(docs, list(merges.added)).where(F.octet_length("word") <= LONGEST)
+    counts = _runtime.table(counts.withColumn("level", F.floor(F.log2("n") * 16)), f"{run}/counts")
+    least, total = None, 0
+    for level, n in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        total += n
+        if total > size:
+            break
+        least = level
+    words = [bytes(r[0]) for r in counts.where(F.col("level") >= least).select("word").collect()] if least is not None else []
+    words = [w for w in words if w not in merges.added]
+    path = f"{run}/words.fst"
     _runtime.put_file(path, compile_lexicon(words, merges.encode_words(words)))
+    _runtime.drop(f"{run}/counts")
     return path
 
 
