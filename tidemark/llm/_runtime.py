@@ -62,8 +62,20 @@ def table(df: DataFrame, path: str) -> DataFrame:
 
 
 def drop(path: str) -> None:
+    """Remove what was written under a path and is no longer read by anything."""
     if is_local(path):
         shutil.rmtree(local(path), ignore_errors=True)
+    elif spark := SparkSession.getActiveSession():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark notice which shuffles are no longer referenced, so that their files go."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def partitions(df: DataFrame, least: int = 1) -> int:

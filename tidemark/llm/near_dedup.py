@@ -270,17 +270,23 @@ def _verified(pairs: DataFrame, pool: DataFrame, percent: int, path: str) -> Dat
     return _runtime.table(_passing(likely, _payload(pool, likely, "whole"), _exact, percent), f"{path}/links")
 
 
-def grouped(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles, node of each document; node, comp of all nodes with a link."""
+def grouped(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame, str]:
+    """doc_id, n_shingles, node of each document; node, comp of all nodes with a link; the folder of both."""
     run = _runtime.run_dir(docs.sparkSession, "near")
     made = _runtime.table(sketches(docs), f"{run}/sketches")
-    lists = _runtime.table(_lists(made.where("batch is not null"), percent), f"{run}/lists")
-    return made.where("batch is null").select("doc_id", "n_shingles", "node"), links(lists, docs, percent, run)
+    rows = _runtime.table(made.where("batch is null").select("doc_id", "n_shingles", "node"), f"{run}/rows")
+    lists = _runtime.table(_lists(made.where("batch is not null"), percent), f"{run}/work/lists")
+    _runtime.drop(f"{run}/sketches")
+    _runtime.tidy(docs.sparkSession)
+    groups = _runtime.table(links(lists, docs, percent, f"{run}/work"), f"{run}/groups")
+    _runtime.drop(f"{run}/work")
+    _runtime.tidy(docs.sparkSession)
+    return rows, groups, run
 
 
 def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least doc_id of its group)."""
-    return _labelled(*grouped(docs, percent))
+    return _labelled(*grouped(docs, percent)[:2])
 
 
 def links(lists: DataFrame, docs: DataFrame, percent: int, run: str) -> DataFrame:
@@ -402,8 +408,7 @@ def deduped(docs: DataFrame, percent: int = 85) -> DataFrame:
     Of repeated rows one stays: documents of one group and one id with the least
     node, and of equal rows the first.
     """
-    run = _runtime.run_dir(docs.sparkSession, "kept")
-    rows, groups = grouped(docs, percent)
+    rows, groups, run = grouped(docs, percent)
     own = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id")).alias("first"), F.count("*").alias("c"))
     own = own.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     stay = own.groupBy("comp").agg(F.min(F.struct("first", "node")).alias("s")).select(F.col("s.node").alias("_n"), F.col("s.first.doc_id").alias("_d"))
