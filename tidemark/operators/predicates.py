@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from ..errors import UnknownColumnError
@@ -85,7 +86,12 @@ class ColumnPredicate:
             return made
         if type(self).test is ColumnPredicate.test:
             return F.lit(False)
-        return F.pandas_udf(self.test, "boolean")(c)
+        test = self.test
+
+        def run(values: pd.Series) -> pd.Series:
+            return test(values)
+
+        return F.pandas_udf(run, "boolean")(c)
 
 
 class RangePredicate(ColumnPredicate):

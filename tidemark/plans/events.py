@@ -160,16 +160,7 @@ class FractionPredicate(P.ColumnPredicate):
 
 @query(f"SELECT {_SHOWN} FROM events WHERE value % 1 > 0.5::DOUBLE")
 def pred_custom_batch(spark, sf_dir):
-    p = FractionPredicate("value")
-    p.test = _fraction
-    return _filtered(spark, sf_dir, p)
-
-
-def _fraction(values):
-    return values % 1 > 0.5
-
-
-_fraction.__annotations__ = {"values": __import__("pandas").Series, "return": __import__("pandas").Series}
+    return _filtered(spark, sf_dir, FractionPredicate("value"))
 
 
 @query("SELECT value FROM events")
