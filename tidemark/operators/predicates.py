@@ -13,10 +13,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from ..errors import UnknownColumnError
 from ..schema import DType, TableSchema
+from ..session import share_package
 
 _EXACT = float(1 << 53)
 
@@ -87,6 +88,8 @@ class ColumnPredicate:
         if type(self).test is ColumnPredicate.test:
             return F.lit(False)
         test = self.test
+        if spark := SparkSession.getActiveSession():
+            share_package(spark)
 
         def run(values: pd.Series) -> pd.Series:
             return test(values)
