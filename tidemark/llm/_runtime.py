@@ -11,12 +11,15 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import share_package
+
 #: Rows and bytes in one Arrow batch sent to Python: bounds a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 4096, 6 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get."""
+    """Bound the Arrow batches that Python workers get, and let them find this package."""
+    share_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
