@@ -177,7 +177,7 @@ def features(df: DataFrame, media: str = "media") -> DataFrame:
                 chunks = pa.array([list(c.reshape(len(c), -1)) for c, _, _ in made], pa.list_(pa.list_(pa.float32())))
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], chunks, pa.array([named(s) for _, s, _ in made], span), pa.array([named(s) for _, _, s in made], span)], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.transform(_runtime.mapped, run, schema)
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -197,7 +197,7 @@ def with_media(docs: DataFrame) -> DataFrame:
             made = [payload(t) for t in x.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[x.column(f.name) for f in kept], pa.array([to_wav(p) for p, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(_runtime.mapped, run, schema)
 
 
 def feature_text(chunks: np.ndarray, spans: list, found: list) -> str:
@@ -220,4 +220,4 @@ def digests(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (0, 1, 2, 4, 5) else pa.string()) for i, c in enumerate(zip(*rows))], schema.names)
 
-    return with_media(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text").mapInArrow(run, schema)
+    return with_media(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text").transform(_runtime.mapped, run, schema)

@@ -375,7 +375,7 @@ def word_counts(docs: DataFrame, added: Sequence[bytes]) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").transform(_runtime.mapped, run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, merges: Merges, size: int = LEXICON) -> str:
@@ -451,7 +451,7 @@ def _with_ids(docs: DataFrame, path: str, lexicon: str | None, schema, make) ->
             if x.num_rows:
                 yield make(x, encoder, *encoder(x.column("text")))
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(_runtime.mapped, run, schema)
 
 
 def encode(docs: DataFrame, path: str, lexicon: str | None = None) -> DataFrame:

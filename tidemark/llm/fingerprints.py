@@ -94,7 +94,7 @@ def fingerprint_column(df: DataFrame, text: str = "text", out: str = "fingerprin
             made = pa.array([r.tobytes() for r in fingerprints(x.column(text))], pa.binary())
             yield pa.RecordBatch.from_arrays([*[x.column(c) for c in names], made], [*names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.transform(_runtime.mapped, run, schema)
 
 
 _EDITED = _runtime.schema("doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
@@ -151,7 +151,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
         if waiting is not None:
             yield edge("tail", *waiting)
 
-    made = _runtime.table(rows.mapInArrow(run, schema), f"{_runtime.run_dir(spark, 'edits')}/rows")
+    made = _runtime.table(rows.transform(_runtime.mapped, run, schema), f"{_runtime.run_dir(spark, 'edits')}/rows")
     edges = made.where(F.col("_edge").isNotNull()).select("_part", "_edge", "doc_id", "_text")
     parts = sorted(r[0] for r in edges.where("_edge = 'tail'").select("_part").collect())  # one number a partition
     after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "_part int, _next int")
@@ -163,5 +163,5 @@ def with_edits(docs: DataFrame) -> DataFrame:
             if x.num_rows:
                 yield _edited(*(c.to_pylist() for c in x.columns))
 
-    out = made.where(F.col("_edge").isNull()).select(*_EDITED.names).unionByName(pairs.mapInArrow(last, _EDITED))
+    out = made.where(F.col("_edge").isNull()).select(*_EDITED.names).unionByName(pairs.transform(_runtime.mapped, last, _EDITED))
     return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})

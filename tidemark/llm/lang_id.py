@@ -97,7 +97,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(seen, n)[at])], schema.names)
 
     out = np.zeros(CELLS + 1, np.int64)
-    for r in texts.mapInArrow(run, schema).groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most CELLS + 1 rows
+    for r in texts.transform(_runtime.mapped, run, schema).groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most CELLS + 1 rows
         out[r["cell"]] = r["n"]
     return out[:CELLS], int(out[CELLS])
 
@@ -184,4 +184,4 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
             far = ~letters | (score < (m.radius[best] if m.langs else 0))
             yield pa.RecordBatch.from_arrays([*[x.column(f.name) for f in kept], pa.array(names, pa.string()), pa.array(score), pa.array(far)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(_runtime.mapped, run, schema)

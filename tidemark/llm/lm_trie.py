@@ -252,7 +252,7 @@ def _counted(train: DataFrame, level: int, path: str, shards: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema.names)
 
-    return train.mapInArrow(run, schema)
+    return train.transform(_runtime.mapped, run, schema)
 
 
 def _written(blocks: DataFrame, level: int, path: str, shards: int) -> DataFrame:
@@ -289,7 +289,7 @@ def _written(blocks: DataFrame, level: int, path: str, shards: int) -> DataFrame
             first = [1] + [0] * (len(rows) - 1)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int32()), pa.array([len(node) * f for f in first], pa.int64()), pa.array([total * f for f in first], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema.names)
 
-    return blocks.repartition(shards, "shard").mapInArrow(run, schema)
+    return blocks.repartition(shards, "shard").transform(_runtime.mapped, run, schema)
 
 
 def _weights(given: DataFrame, level: int, path: str, shards: int) -> None:
@@ -311,7 +311,7 @@ def _weights(given: DataFrame, level: int, path: str, shards: int) -> None:
 
     every = given.sparkSession.range(shards).select(F.col("id").cast("int").alias("above"), F.lit(None).cast("binary").alias("given"))
     rows = given.where("above is not null").select("above", "given").unionByName(every)
-    rows.repartition(shards, "above").mapInArrow(run, schema).write.format("noop").mode("overwrite").save()
+    rows.repartition(shards, "above").transform(_runtime.mapped, run, schema).write.format("noop").mode("overwrite").save()
 
 
 class Model:
@@ -376,7 +376,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             cols = [x.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(b.n), pa.array(known), pa.array(base), pa.array(np.add.reduceat(np.log10(np.minimum(p, 1.0)), at))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(_runtime.mapped, run, schema)
 
 
 def held_out(doc_id: Column, folds: int = 5, one: int = 1) -> Column:

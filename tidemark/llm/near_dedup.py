@@ -99,7 +99,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 own = [TaskContext.get().partitionId() << 32 | number, nodes[lead].tobytes(), counts[lead].astype(np.int64).tobytes(), kept.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *[pa.array([v], pa.int64() if i == 0 else pa.binary()) for i, v in enumerate(own)]], schema.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(_runtime.mapped, run, schema)
 
 
 def _distinct_values(values: bytes, shards: int):
@@ -138,7 +138,7 @@ def _frequencies(packed: DataFrame, shards: int) -> DataFrame:
         made = [total[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array(made, pa.binary())], answer.names)
 
-    return packed.select("batch", "values").mapInArrow(send, ask).repartition(shards, "shard").mapInArrow(reply, answer)
+    return packed.select("batch", "values").transform(_runtime.mapped, send, ask).repartition(shards, "shard").transform(_runtime.mapped, reply, answer)
 
 
 def _needed(n: int, percent: int) -> int:
@@ -177,7 +177,7 @@ def _lists(packed: DataFrame, percent: int) -> DataFrame:
         names = pa.array([nodes[16 * i : 16 * i + 16] for i in range(len(sizes))], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), names.take(pa.array(rows)), pa.array(sizes[rows]), pa.array(pop[rows])], schema.names)
 
-    return packed.select("batch", "nodes", "sizes", "values").join(answers, "batch").mapInArrow(run, schema)
+    return packed.select("batch", "nodes", "sizes", "values").join(answers, "batch").transform(_runtime.mapped, run, schema)
 
 
 def _near(a, b, percent: int):
@@ -219,7 +219,7 @@ def _pool(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     out.append((keys[i], v[:K].tobytes(), v.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.binary()) for j in range(3)], schema.names)
 
-    return docs.select("text").mapInArrow(run, schema).dropDuplicates(["node"])
+    return docs.select("text").transform(_runtime.mapped, run, schema).dropDuplicates(["node"])
 
 
 def _payload(pool: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
@@ -232,7 +232,7 @@ def _payload(pool: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
             ok = pa.array(_has(bits.value, x.column("node").to_pylist()))
             yield pa.RecordBatch.from_arrays([c.filter(ok) for c in x.columns], schema.names)
 
-    return pool.select("node", F.col(column).alias("payload")).mapInArrow(run, schema)
+    return pool.select("node", F.col(column).alias("payload")).transform(_runtime.mapped, run, schema)
 
 
 def _estimate(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -262,7 +262,7 @@ def _passing(pairs: DataFrame, sets: DataFrame, test, percent: int) -> DataFrame
 
     one = sets.select(F.col("node").alias("a"), F.col("payload").alias("one"))
     two = sets.select(F.col("node").alias("b"), F.col("payload").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, schema)
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").transform(_runtime.mapped, run, schema)
 
 
 def _verified(pairs: DataFrame, pool: DataFrame, percent: int, path: str) -> DataFrame:
@@ -340,7 +340,7 @@ def _in_blocks(members: DataFrame, groups: DataFrame, pool: DataFrame, percent:
         out += _compared(nodes, comps, sets, percent)
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in range(2)], schema.names)
 
-    return dealt.repartition(n, "b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(run, schema)
+    return dealt.repartition(n, "b", "i", "j").sortWithinPartitions("b", "i", "j").transform(_runtime.mapped, run, schema)
 
 
 def _compared(nodes: list[bytes], comps: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
@@ -399,7 +399,7 @@ def noded(docs: DataFrame) -> DataFrame:
             made = pa.array([k.tobytes() if c else None for k, c in zip(nodes, counts.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([*[x.column(f.name) for f in kept], made], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(_runtime.mapped, run, schema)
 
 
 def deduped(docs: DataFrame, percent: int = 85) -> DataFrame:
