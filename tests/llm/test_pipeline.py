@@ -1,7 +1,10 @@
+import random
+
 from brute import groups, words
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
+from tidemark.llm import near_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +49,29 @@ def test_stages_do_what_they_say(spark):
 
 def test_run_writes_all_stages(spark):
     assert pipeline.run(spark, SF).columns == ["doc_id", "source", "lang", "n_tokens", "ids"]
+
+
+def test_near_stage_links_at_80_percent(spark):
+    r = random.Random(12)
+    word = lambda: "w%d" % r.randrange(50000)
+    texts = {}
+    for i, n in enumerate([120, 200, 200, 400, 900, 2000]):
+        body = [word() for _ in range(n)]
+        copy = list(body)
+        for at in range(12, n - 8, 50):
+            copy[at] = "changed%d" % at
+        texts[2 * i], texts[2 * i + 1] = " ".join(body), " ".join(copy)
+    texts |= {100 + i: " ".join(word() for _ in range(150)) for i in range(20)}
+    want, _ = groups(texts, percent=80)
+    assert len(set(want.values())) < len(set(groups(texts)[0].values()))
+    stage = dict(pipeline.STAGES)["near_dedup"]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {x["doc_id"] for x in stage(spark, df, SF).collect()} == set(want.values())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want, _ = groups({x["doc_id"]: x["text"] for x in docs.collect()}, percent=80)
+    assert {x["doc_id"] for x in stage(spark, docs, SF).collect()} == set(want.values())
+
+
+def test_sketch_bound_follows_the_threshold():
+    assert [near_dedup._shared(p) for p in (80, 85)] == [160, 176]
+    assert near_dedup._needed(2000, 80) == 160 and near_dedup._needed(100, 80) == 80

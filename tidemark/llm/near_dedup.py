@@ -21,8 +21,9 @@ form groups.
    meet in blocks, each two blocks in one task that compares all their sets: every
    pair that shares a filed value is linked, compared or redundant.
 
-For sets of up to 216 shingles step 2 is exact; for larger ones a pair at the
-threshold shares fewer than 176 of 256 with a probability below 1e-10.
+For sets of up to K - 1 shingles in the union step 2 is exact; for larger ones a
+pair at the threshold shares fewer than `shared` of K (176 at 85 percent, 160 at
+80) with a probability below RARE.
 
 Cases: texts without words have no set, are linked with nothing and keep their
 own id; fewer than five words are one shingle; a null doc_id never names a group
@@ -32,6 +33,8 @@ that has another; repeated rows are copies; an empty table gives an empty result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import _runtime, _text
 from .components import components
 
-K, SHARED = 256, 176
+K, RARE = 256, 4e-11
 #: Lists of up to so many members propose all their pairs at once.
 SMALL = 8
 #: Members of a pivot that meet in one block.
@@ -141,10 +144,19 @@ def _frequencies(packed: DataFrame, shards: int) -> DataFrame:
     return packed.select("batch", "values").transform(_runtime.mapped, send, ask).repartition(shards, "shard").transform(_runtime.mapped, reply, answer)
 
 
+@cache
+def _shared(percent: int) -> int:
+    """How many of K retained values a pair at the threshold shares but with a probability below RARE."""
+    p, below, s = percent / 100, 0.0, 0
+    while s < K and (below := below + comb(K, s) * p**s * (1 - p) ** (K - s)) < RARE:
+        s += 1
+    return s
+
+
 def _needed(n: int, percent: int) -> int:
     """How many retained values a set of n shares with any set it is linked with."""
     exact = -(-n * percent // 100)
-    return exact if n * 100 <= (K - 1) * percent else min(SHARED, exact)
+    return exact if n * 100 <= (K - 1) * percent else min(_shared(percent), exact)
 
 
 def _lists(packed: DataFrame, percent: int) -> DataFrame:
@@ -241,7 +253,7 @@ def _estimate(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
         return True  # both whole: the exact step decides
     union = np.union1d(x, y)[:K]
     both = np.intersect1d(np.intersect1d(x, y, True), union, True)
-    return len(both) * K >= SHARED * len(union)
+    return len(both) * K >= _shared(percent) * len(union)
 
 
 def _exact(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
