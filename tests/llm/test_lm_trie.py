@@ -80,3 +80,15 @@ def test_nothing_to_learn_from(spark):
     assert m.tokens == 0 and all(x["n_known"] == 0 for x in got.values())
     m, got = run(spark, {})
     assert got == {}
+
+
+def test_what_occurs_once_is_kept(spark):
+    held = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1)
+    trained = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1)
+    _, got = run(spark, {trained: "alpha beta gamma delta", held: "alpha beta gamma"})
+    # 5 tokens of 5 kinds: a bigram seen once has (1 - DISCOUNT) / 1 and DISCOUNT of the word's own, a trigram likewise
+    p1 = 1.5 / 8
+    p2 = 0.25 + 0.75 * p1
+    p3 = 0.25 + 0.75 * p2
+    end = 0.75 * 0.75 * p1
+    assert got[held]["score"] == pytest.approx(math.log10(p1 * p2 * p3 * end), abs=0.06)

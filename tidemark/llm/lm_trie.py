@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import _runtime, _text, elias_fano as ef
 
-ORDER, LEAST, DISCOUNT = 3, 2, 0.75
+ORDER, LEAST, DISCOUNT = 3, 1, 0.75
 END = np.uint64(_text.mix_int(77))
 _SCALE = 255 / 8.0
 _U32 = np.uint64(32)
