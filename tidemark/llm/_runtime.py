@@ -117,6 +117,17 @@ def map_file(path: str):
         return np.frombuffer(f.read(), np.uint8)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores more that df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def schema(text: str):
     """A schema from "name type, ..."; unlike DDL it needs no session."""
     from pyspark.sql import types as T
