@@ -70,6 +70,16 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
+def row_blocks(column, size: int = 1 << 20):
+    """Slices of a string column whose rows have about `size` bytes together, one row at least."""
+    _, off = utf8(column)
+    a, n = 0, len(column)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
+        yield column.slice(a, b - a)
+        a = b
+
+
 def pieces(word: np.ndarray, n: int):
     """Cut [0, n) into blocks of about BLOCK bytes, each cut before a separator."""
     a = 0

@@ -30,6 +30,8 @@ from . import _runtime, _text
 
 #: Words in the lexicon, and the longest of them in bytes.
 LEXICON, LONGEST = 1 << 16, 48
+#: Bytes of words and counts that a task holds before it sends them on.
+PENDING = 16 << 20
 _NONE = np.int64(1) << 40
 
 
@@ -359,20 +361,25 @@ def word_counts(docs: DataFrame, added: Sequence[bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
 
+        size = 0
+
         def flush():
             made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema.names)
             seen.clear()
             return made
 
-        for x in batches:
-            buf, off = _text.utf8(x.column("text"))
+        for part in (p for x in batches for p in _text.row_blocks(x.column("text"))):
+            buf, off = _text.utf8(part)
             starts, _ = pretokens(buf, off, added)
             if len(starts):
                 codes, words = _distinct(buf, starts)
                 for w, n in zip(words, np.bincount(codes).tolist()):
+                    if w not in seen:
+                        size += len(w) + 100
                     seen[w] = seen.get(w, 0) + n
-            if len(seen) > 400_000:
+            if size > PENDING:
                 yield flush()
+                size = 0
         yield flush()
 
     return docs.select("text").transform(_runtime.mapped, run, schema).groupBy("word").agg(F.sum("n").alias("n"))
@@ -408,7 +415,11 @@ class Encoder:
         self.merges, self.lexicon = merges, lexicon
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and ids per row."""
+        """All ids in order, and ids per row; worked out for about a megabyte of text at a time."""
+        parts = [self._block(x) for x in _text.row_blocks(column)] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        return tuple(np.concatenate(p) for p in zip(*parts))
+
+    def _block(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         buf, off = _text.utf8(column)
         starts, per_row = pretokens(buf, off, list(self.merges.added))
         if not len(starts):

@@ -17,7 +17,7 @@ form groups.
    Candidates are linear in the list.
 4. The union sketch (the K least of both) estimates similarity; what falls below
    shared / K goes.  Exact Jaccard on full sets confirms the rest.
-5. Where the members of a pivot's lists are in more than one group still, they
+5. Where the members of a pivot's longer lists are in more than one group still, they
    meet in blocks, each two blocks in one task that compares all their sets: every
    pair that shares a filed value is linked, compared or redundant.
 
@@ -328,6 +328,7 @@ def _in_blocks(members: DataFrame, groups: DataFrame, pool: DataFrame, percent:
     in one task, which compares all their sets and returns at most one link a
     member: so many rows a member as its pivot has blocks, and no pairs.
     """
+    members = members.where(F.col("c") > SMALL)  # of shorter lists all pairs have met
     own = members.select("node", "b").unionByName(members.select(F.col("b").alias("node"), "b")).distinct()
     now = own.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = now.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2")
