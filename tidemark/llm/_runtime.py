@@ -109,7 +109,7 @@ def map_file(path: str):
 
     if is_local(path):
         at = local(path)
-        return np.memmap(at, dtype=np.uint8, mode="r") if os.path.getsize(at) else np.zeros(0, np.uint8)
+        return np.memmap(at, dtype=np.uint8, mode="r").view(np.ndarray) if os.path.getsize(at) else np.zeros(0, np.uint8)
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path)

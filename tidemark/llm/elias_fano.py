@@ -47,6 +47,7 @@ class Sequence:
     def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, before: np.ndarray):
         self.n, self.width = int(head[0]), int(head[1])
         self.low, self.high, self.before = low, high, before
+        self.words = high.view(np.uint64)
         self.zeros = None
 
     def _select(self, rank: np.ndarray, one: bool) -> np.ndarray:
@@ -58,24 +59,18 @@ class Sequence:
                 self.zeros = 64 * np.arange(len(self.before), dtype=np.int64) - self.before
             counts = self.zeros
         word = np.searchsorted(counts, rank, "right") - 1
-        left = rank - counts[word]
-        at = word * 8
-        place = np.full(len(rank), -1, np.int64)
-        todo = np.arange(len(rank))
-        for _ in range(8):
-            byte = self.high[at[todo]]
-            if not one:
-                byte = ~byte
-            n = _ONES[byte]
-            here = left[todo] < n
-            k = todo[here]
-            place[k] = at[k] * 8 + _AT[byte[here], left[k]]
-            todo = todo[~here]
-            if not len(todo):
-                break
-            left[todo] -= n[~here]
-            at[todo] += 1
-        return place
+        left = (rank - counts[word]).astype(np.int64)
+        bits = self.words[word]
+        if not one:
+            bits = ~bits
+        place = word << 6
+        for half in (32, 16, 8):  # which half holds the one that is left-th
+            n = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = left >= n
+            left -= n * up
+            place += up * half
+            bits = bits >> (up * half).astype(np.uint64)
+        return place + _AT[(bits & np.uint64(255)).astype(np.int64), left]
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:

@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from . import _runtime, _text, elias_fano as ef
 
 ORDER, LEAST, DISCOUNT = 3, 1, 0.75
+#: Bytes of text that are scored at once.
+BLOCK = 2 << 20
 END = np.uint64(_text.mix_int(77))
 _SCALE = 255 / 8.0
 _U32 = np.uint64(32)
@@ -113,12 +115,18 @@ class Trie:
                 continue
             rows = some[part]
             rows = rows[np.argsort(node[rows])]
-            at = ef.Sequence(*x[:4]).find(node[rows].astype(np.uint64))
-            rows, at = rows[at >= 0], at[at >= 0]
+            own = node[rows]
+            new = np.append(True, own[1:] != own[:-1])  # each node is looked for once
+            at = ef.Sequence(*x[:4]).find(own[new].astype(np.uint64))
+            pointers, known = ef.Sequence(*x[4:8]), at >= 0
+            start, end = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            start[known], end[known] = pointers.get(at[known]), pointers.get(at[known] + 1)
+            own = np.cumsum(new) - 1
+            hit = known[own]
+            rows, own = rows[hit], own[hit]
             if not len(rows):
                 continue
-            pointers = ef.Sequence(*x[4:8])
-            start, end = pointers.get(at).astype(np.int64), pointers.get(at + 1).astype(np.int64)
+            start, end = start[own], end[own]
             wanted = code[rows].astype(np.uint32)
             place = ef.successor(lambda i: codes[i], start, end, wanted)
             hit = place < end
@@ -202,7 +210,7 @@ def _unpack(blob: bytes):
     x = ef.load(np.frombuffer(blob, np.uint8))
     if len(x) == 2:
         return x[0], np.zeros(len(x[0]), np.uint32), x[1].astype(np.int64)
-    return np.repeat(x[0], x[1]), x[2], x[3].astype(np.int64)
+    return np.repeat(x[0], x[1]), x[2], x[3].astype(np.uint32)
 
 
 def _summed(node: np.ndarray, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,7 +218,7 @@ def _summed(node: np.ndarray, code: np.ndarray, counts: np.ndarray) -> tuple[np.
     order = np.lexsort((code, node))
     node, code, counts = node[order], code[order], counts[order]
     begin = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (code[1:] != code[:-1]))) if len(node) else np.zeros(0, np.int64)
-    return node[begin], code[begin], np.add.reduceat(counts, begin) if len(begin) else counts
+    return node[begin], code[begin], np.add.reduceat(counts, begin, dtype=np.int64) if len(begin) else counts.astype(np.int64)
 
 
 def _counted(train: DataFrame, level: int, path: str, shards: int) -> DataFrame:
@@ -324,7 +332,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     spark = docs.sparkSession
     _runtime.tune(spark)
     path = _runtime.run_dir(spark, "trie")
-    shards = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    shards = _runtime.partitions(docs, 4)
     tokens = words = 0
     for level in range(1, order + 1):
         at = f"{path}-made/{level}"
@@ -357,24 +365,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for x in batches:
             if not x.num_rows:
                 continue
-            b = _Batch(x.column("text"), trie)
-            p = (b.count + 0.5) / (tokens + 0.5 * (words + 1))
-            at = np.cumsum(b.n) - b.n
-            base = np.add.reduceat(np.log10(p), at)
-            known = np.add.reduceat((b.count > 0).astype(np.int64), at)
-            for level in range(2, levels + 1):
-                _, a = b.extend(level)
-                hit = b.nodes[level] >= 0
-                above = np.full(len(b.h), -1, np.int64)
-                above[1:] = b.nodes[level - 1][:-1]
-                above[b.first] = -1
-                rows = np.flatnonzero(above >= 0)
-                g = np.ones(len(b.h))
-                g[rows] = _VALUE[trie.array(f"g{level - 1}", above[rows])]
-                p = g * p
-                p[hit] += _VALUE[a[hit]]
-            cols = [x.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(b.n), pa.array(known), pa.array(base), pa.array(np.add.reduceat(np.log10(np.minimum(p, 1.0)), at))], schema.names)
+            parts = [scored(_Batch(part, trie), trie) for part in _text.row_blocks(x.column("text"), BLOCK)]
+            yield pa.RecordBatch.from_arrays([*(x.column(f.name) for f in kept), *(pa.array(np.concatenate(c)) for c in zip(*parts))], schema.names)
+
+    def scored(b: _Batch, trie: Trie) -> tuple:
+        p = (b.count + 0.5) / (tokens + 0.5 * (words + 1))
+        at = np.cumsum(b.n) - b.n
+        base = np.add.reduceat(np.log10(p), at)
+        known = np.add.reduceat((b.count > 0).astype(np.int64), at)
+        for level in range(2, levels + 1):
+            _, a = b.extend(level)
+            hit = b.nodes[level] >= 0
+            above = np.full(len(b.h), -1, np.int64)
+            above[1:] = b.nodes[level - 1][:-1]
+            above[b.first] = -1
+            rows = np.flatnonzero(above >= 0)
+            g = np.ones(len(b.h))
+            g[rows] = _VALUE[trie.array(f"g{level - 1}", above[rows])]
+            p = g * p
+            p[hit] += _VALUE[a[hit]]
+        return b.n, known, base, np.add.reduceat(np.log10(np.minimum(p, 1.0)), at)
 
     return docs.transform(_runtime.mapped, run, schema)
 
