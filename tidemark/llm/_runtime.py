@@ -66,7 +66,9 @@ def table(df: DataFrame, path: str) -> DataFrame:
 
 def drop(path: str) -> None:
     """Remove what was written under a path and is no longer read by anything."""
-    if is_local(path):
+    if is_local(path) and os.path.isfile(local(path)):
+        os.remove(local(path))
+    elif is_local(path):
         shutil.rmtree(local(path), ignore_errors=True)
     elif spark := SparkSession.getActiveSession():
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -34,7 +34,7 @@ from . import _runtime, _text, elias_fano as ef
 
 ORDER, LEAST, DISCOUNT = 3, 1, 0.75
 #: Bytes of text that are scored at once.
-BLOCK = 2 << 20
+BLOCK = 3 << 20
 END = np.uint64(_text.mix_int(77))
 _SCALE = 255 / 8.0
 _U32 = np.uint64(32)
@@ -263,7 +263,7 @@ def _counted(train: DataFrame, level: int, path: str, shards: int) -> DataFrame:
     return train.transform(_runtime.mapped, run, schema)
 
 
-def _written(blocks: DataFrame, level: int, path: str, shards: int) -> DataFrame:
+def _written(blocks: DataFrame, level: int, path: str, shards: int, top: bool) -> DataFrame:
     """Write a level's shards. Returns shard, n (kept), total, and what contexts gave away, by their shard."""
     schema = _runtime.schema("shard int, n long, total long, above int, given binary")
 
@@ -288,7 +288,8 @@ def _written(blocks: DataFrame, level: int, path: str, shards: int) -> DataFrame
                 heads = node[begin]
                 arrays = [*ef.build(heads, int(heads[-1]) if len(heads) else 0), *ef.build(np.append(begin, len(node)), len(node)), code.astype(np.uint32), _quantised(share)]
                 _runtime.put_file(f"{path}/{level}-{k}", ef.save(arrays))
-                _runtime.put_file(f"{path}/c{level}-{k}", ef.save([counts.astype(np.uint32)]))
+                if not top:  # only longer n-grams ask for the counts
+                    _runtime.put_file(f"{path}/c{level}-{k}", ef.save([counts.astype(np.uint32)]))
                 given = np.add.reduceat(share, begin) if len(begin) else np.zeros(0)
                 up = (heads >> _U32).astype(np.int64)
                 for j in np.unique(up).tolist():
@@ -338,12 +339,16 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         at = f"{path}-made/{level}"
         spare = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(_pack(*_empty(level))).alias("block"))
         blocks = _counted(docs.select("text"), level, path, shards).unionByName(spare)  # so that every shard is written
-        made = _runtime.table(_written(blocks, level, path, shards), at)
+        made = _runtime.table(_written(blocks, level, path, shards, level == order), at)
+        del blocks
+        _runtime.tidy(spark)
         if level == 1:
             s = made.agg(F.sum("total").alias("t"), F.sum("n").alias("n")).first()
             tokens, words = s["t"] or 0, s["n"] or 0
         else:
             _weights(made, level - 1, path, shards)
+    for name in [f"c{level}-{k}" for level in range(1, order) for k in range(shards)]:
+        _runtime.drop(f"{path}/{name}")
     _runtime.drop(f"{path}-made")
     return Model(path, shards, int(tokens), int(words), order)
 
