@@ -45,6 +45,19 @@ def test_framed_log(spark, tmp_path):
     assert [(r["_rec"], r["timestamp"]) for r in df.orderBy("timestamp").collect()] == [(1, 10), (1, 11), (1, 12), (1, 13), (2, 20), (2, 21), (2, 22), (2, 23)]
 
 
+def test_payload_bytes():
+    schema = TableSchema("t", [("ts", TIMESTAMP), ("s", fixed_str(2))])
+    raw_bytes = bytes.fromhex(
+        "0200000000000000 0200000000000000"
+        "02000000 7473 02 0200000000000000 0700000000000000 0800000000000000"
+        "01000000 73 03 0200000000000000 0200000000000000 02000000 4142 02000000 4344".replace(" ", "")
+    )
+    assert raw.encode_payload(schema, {"ts": [7, 8], "s": [b"AB", b"CD"]}) == raw_bytes
+    assert raw.decode_payload(schema, raw_bytes) == {"ts": [7, 8], "s": [b"AB", b"CD"]}
+    with pytest.raises(LogError):
+        raw.decode_payload(schema, raw_bytes[:-6] + b"\x01\0\0\0C")
+
+
 def test_command_line(spark, tmp_path, capsys):
     assert main(["config", "default", "--output", f"{tmp_path}/c.toml"]) == 0 and main(["config", "validate", "--file", f"{tmp_path}/c.toml"]) == 0
     (tmp_path / "bad.toml").write_text("nope = 1")

@@ -132,3 +132,34 @@ def test_generator(spark):
     assert df.where(RangePredicate("price", 100.0, 110.0).compile(TRADES)).count() == 2000
     assert {bytes(r[0]) for r in df.select("symbol").distinct().collect()} == {b"EURUSD  ", b"BTCUSD  "}
     assert df.agg(F.min("volume"), F.max("volume")).first()[:] == (1.0, 100.0)
+
+
+def test_open_with_a_part_of_the_columns(spark, tmp_path):
+    whole = TableSchema("t", [("ts", TIMESTAMP), ("price", F64), ("n", I64)])
+    t = Table.open(spark, str(tmp_path / "t"), whole)
+    for i in range(3):
+        t.append(spark.createDataFrame([(10 * i + j, float(j), j) for j in range(3)], "ts long, price double, n long"))
+        t.flush()
+    part = TableSchema("t", [("n", I64), ("ts", TIMESTAMP)])
+    p = Table.open(spark, t.path, part)
+    assert p.scan_time_range(0, 11, ordered=True).collect() == [(0, 0), (1, 1), (2, 2), (0, 10)]
+    with pytest.raises(SchemaError):
+        p.append(spark.createDataFrame([(1, 50)], "n long, ts long"))
+    p.compact([1, 2, 3])
+    again = Table.open(spark, t.path, whole)
+    assert [r["price"] for r in again.scan_time_range(0, 100, ordered=True).collect()] == [0.0, 1.0, 2.0] * 3  # nothing lost
+    for bad in ([("ts", TIMESTAMP), ("other", F64)], [("ts", TIMESTAMP), ("n", F64)]):
+        with pytest.raises(SchemaError):
+            Table.open(spark, t.path, TableSchema("t", bad))
+
+
+def test_compaction_keeps_the_order_of_segments(spark, tmp_path):
+    t = Table.open(spark, str(tmp_path / "o"), TableSchema("t", [("ts", TIMESTAMP), ("n", I64)]))
+    for i in range(4):
+        t.append(spark.createDataFrame([(100 - i, 2 * i), (100 - i, 2 * i + 1)], "ts long, n long"))
+        t.flush()
+    t.compact([1, 3])
+    order = [0, 1, 4, 5, 2, 3, 6, 7]
+    assert [r["n"] for r in t.scan_time_range(0, 200, ordered=True).collect()] == order
+    t.compact([2, 4, 5])
+    assert [r["n"] for r in t.scan_time_range(0, 200, ordered=True).collect()] == order

@@ -60,6 +60,21 @@ def udp_payload(data: Column) -> Column:
     return F.when(udp(data).isNotNull(), F.substring(data, at + 1, F.octet_length(data)))
 
 
+def is_udp(data: Column) -> Column:
+    """Whether a frame holds a whole UDP header; how the frame is made is worked out once, whatever the optimiser does."""
+    return F.coalesce(F.exists(F.array(data), lambda d: _udp_at(d).isNotNull()), F.lit(False))
+
+
+def _udp_at(d: Column) -> Column:
+    """Where the UDP header of an IPv4 frame begins, or null."""
+    first, room = number(d, ETHERNET, 1), F.octet_length(d) - ETHERNET
+    size = first.bitwiseAND(15) * 4
+    ok = (room >= 20) & (number(d, 12, 2) == 0x0800) & (number(d, ETHERNET + 9, 1) == UDP) & (F.shiftright(first, 4) == 4) & (size >= 20) & (size + UDP_HEADER <= room)
+    return F.when(ok, size + ETHERNET)
+
+
 def in_group(data: Column, group: str, port: int) -> Column:
     """UDP frames to a multicast group and port."""
-    return F.coalesce((ipv4(data)["dst"] == group) & (udp(data)["dst_port"] == port), F.lit(False))
+    address = "".join(f"{int(x):02X}" for x in group.split("."))
+    to_group = lambda d: (F.hex(F.substring(d, ETHERNET + 17, 4)) == address) & (number(d, _udp_at(d) + 2, 2) == port)
+    return F.coalesce(F.exists(F.array(data), to_group), F.lit(False))

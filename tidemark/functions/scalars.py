@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 #: Fixed value: the spacing of doubles at 1.
 EPSILON = 2.220446049250313e-16
+#: White space.
+SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
 def rate(units: Column, seconds: Column) -> Column:
@@ -62,8 +66,8 @@ def is_multicast(ip: Column, port: Column) -> Column:
 
 
 def truthy(text: Column) -> Column:
-    """Whether a flag's text means yes."""
-    return F.lower(F.trim(text)).isin("1", "true", "yes", "on")
+    """Whether a flag's text, without white space around it, means yes."""
+    return F.lower(F.btrim(text, F.lit("".join(map(chr, SPACES))))).isin("1", "true", "yes", "on")
 
 
 def lba_range(offset: Column, length: Column, sector: Column, capacity: Column, most: Column) -> Column:
@@ -81,13 +85,13 @@ def lba_range(offset: Column, length: Column, sector: Column, capacity: Column,
 
 def _div(a: Column, b: Column) -> Column:
     """Whole quotient of longs that are not negative."""
-    return ((a - a % b) / b).cast("long")
+    return F.call_function("div", a.cast("long"), b.cast("long"))
 
 
 def meminfo_number(text: Column, key: str) -> Column:
-    """The first whole number on the line that begins with key."""
-    found = F.regexp_extract(text, rf"(?m)^{key}:?[^0-9\n]*([0-9]+)", 1)
-    return F.when(found != "", found).cast("long")
+    """The first word after key on the first line that begins with it, if that is a whole number below 2**63."""
+    found = F.regexp_extract(text, rf"(?m)^{re.escape(key)}:?[^\S\n]*(\S*)", 1)
+    return F.when(found.rlike(r"^\+?[0-9]+$"), found).try_cast("long")
 
 
 def meminfo_size(text: Column, key: str) -> Column:
@@ -100,3 +104,14 @@ def little_endian_long(data: Column) -> Column:
     """The signed long in the first eight bytes; null for other lengths."""
     part = [F.substring(F.hex(data), 2 * i + 1, 2) for i in range(7, -1, -1)]
     return F.when(F.octet_length(data) == 8, F.conv(F.concat(*part), 16, -10).cast("long"))
+
+
+def little_endian_double(data: Column) -> Column:
+    """The IEEE double in the first eight bytes; null for other lengths. All not-a-numbers are one."""
+    bits = little_endian_long(data)
+    exponent = F.shiftrightunsigned(bits, 52).bitwiseAND(2047)
+    part = bits.bitwiseAND((1 << 52) - 1).cast("double")
+    sign = F.when(bits < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    whole = F.when(exponent == 0, part * F.lit(5e-324)).otherwise((F.lit(1.0) + part / F.lit(2.0**52)) * F.pow(F.lit(2.0), (exponent - 1023).cast("double")))
+    special = F.when(part == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return F.when(bits.isNotNull(), F.when(exponent == 2047, special).otherwise(sign * whole))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import packets as K, scalars as S
 
@@ -79,14 +79,53 @@ def fn_lba_range(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", got.alias("r")).select("event_id", "r.error", "r.lba", F.col("r.count").alias("blocks"))
 
 
-@query("SELECT event_id, lower(trim(flag)) IN ('1', 'true', 'yes', 'on') AS yes FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN ' Yes ' WHEN 1 THEN 'on' WHEN 2 THEN '1' WHEN 3 THEN 'no' WHEN 4 THEN 'TRUE' ELSE '' END AS flag FROM events)")
+@query("SELECT event_id, lower(trim(flag, ' ' || chr(9) || chr(10) || chr(8195))) IN ('1', 'true', 'yes', 'on') AS yes FROM (SELECT event_id, CASE event_id % 8 WHEN 0 THEN ' Yes ' WHEN 1 THEN 'on' WHEN 2 THEN '1' WHEN 3 THEN 'no' WHEN 4 THEN 'TRUE' WHEN 5 THEN chr(9) || 'on' || chr(10) WHEN 6 THEN chr(8195) || 'yes' ELSE '' END AS flag FROM events)")
 def fn_truthy(spark, sf_dir):
-    k = F.col("event_id") % 6
-    flag = F.when(k == 0, " Yes ").when(k == 1, "on").when(k == 2, "1").when(k == 3, "no").when(k == 4, "TRUE").otherwise("")
+    flags = [" Yes ", "on", "1", "no", "TRUE", "\ton\n", "\u2003yes", ""]
+    flag = F.element_at(F.array(*map(F.lit, flags)), (F.col("event_id") % 8 + 1).cast("int"))
     return _events(spark, sf_dir).select("event_id", S.truthy(flag).alias("yes"))
 
 
-@query(None)  # DuckDB has no crc32
+@query(
+    """SELECT event_id, CASE WHEN user_id % 4 < 2 THEN event_id END AS pages, CASE WHEN user_id % 4 < 2 THEN NULL WHEN user_id % 4 = 2 THEN user_id END AS free FROM events"""
+)
+def fn_meminfo(spark, sf_dir):
+    k, e, u = F.col("user_id") % 4, F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    text = F.concat(F.lit("Other: 1 kB\nPages: "), F.when(k == 0, e).when(k == 1, F.concat(e, F.lit(" kB"))).otherwise(F.concat(F.lit("x"), e)), F.lit("\nFree:"), F.when(k == 2, F.concat(F.lit("  +"), u)).when(k == 3, F.concat(F.lit(" -"), u)).otherwise(""), F.lit("\nLast: 7"))
+    return _events(spark, sf_dir).select("event_id", S.meminfo_number(text, "Pages").alias("pages"), S.meminfo_number(text, "Free").alias("free"))
+
+
+def _bytes(value: Column) -> Column:
+    """The eight bytes of a long, lowest first."""
+    h = F.lpad(F.hex(value), 16, "0")
+    return F.unhex(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)]))
+
+
+@query("SELECT event_id, user_id * 4294967296 - event_id * 7919 AS value, CASE WHEN event_id % 2 = 0 THEN user_id * 4294967296 - event_id * 7919 END AS read FROM events")
+def fn_le_long(spark, sf_dir):
+    value = F.col("user_id") * 4294967296 - F.col("event_id") * 7919
+    data = F.when(F.col("event_id") % 2 == 0, _bytes(value)).otherwise(F.unhex(F.lit("01")))
+    return _events(spark, sf_dir).select("event_id", value.alias("value"), S.little_endian_long(data).alias("read"))
+
+
+@query("SELECT event_id, (CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END) * (1 + (user_id % 1024) / 1024::DOUBLE) * pow(2, (event_id % 200 - 100)::DOUBLE) AS read FROM events")
+def fn_le_double(spark, sf_dir):
+    e, u = F.col("event_id"), F.col("user_id")
+    bits = F.when(e % 3 == 0, F.lit(-(1 << 63))).otherwise(F.lit(0)) + F.shiftleft(e % 200 + 923, 52) + F.shiftleft(u % 1024, 42)
+    return _events(spark, sf_dir).select("event_id", S.little_endian_double(_bytes(bits)).alias("read"))
+
+
+_CRC = """WITH b AS (SELECT i, i AS c0 FROM range(256) r(i)),
+"""
+_CRC += "".join(f"t{k} AS (SELECT i, CASE WHEN c{k} & 1 = 1 THEN xor(3988292384, c{k} >> 1) ELSE c{k} >> 1 END AS c{k + 1} FROM {'b' if k == 0 else f't{k - 1}'}),\n" for k in range(8))
+_CRC += """t AS (SELECT list(c8 ORDER BY i) AS t FROM t7),
+x0 AS (SELECT event_id, rpad(event_type, 8, ' ') AS sym, 4294967295::BIGINT AS c FROM events),
+"""
+_CRC += "".join(f"x{k} AS (SELECT event_id, sym, xor(t[(xor(c, ascii(substr(sym, {k}, 1))) & 255) + 1], c >> 8) AS c FROM x{k - 1}, t),\n" for k in range(1, 9))
+_CRC += "y AS (SELECT event_id, sym, xor(c, 4294967295) AS crc32 FROM x8) SELECT event_id, sym, crc32 FROM y"
+
+
+@query(_CRC)
 def crc32(spark, sf_dir):
     sym = F.rpad("event_type", 8, " ")
     return _events(spark, sf_dir).select("event_id", sym.alias("sym"), S.crc32(sym).alias("crc32"))
@@ -139,7 +178,7 @@ def pkt_payload(spark, sf_dir):
 
 @query(_FRAMES + "SELECT event_id, n AS bytes FROM x WHERE udp")
 def pkt_udp_only(spark, sf_dir):
-    return frames(spark, sf_dir).where(K.udp(F.col("frame")).isNotNull()).select("event_id", F.octet_length("frame").cast("long").alias("bytes"))
+    return frames(spark, sf_dir).where(K.is_udp(F.col("frame"))).select("event_id", F.octet_length("frame").cast("long").alias("bytes"))
 
 
 @query(_FRAMES + "SELECT event_id FROM x WHERE udp AND substr(h, 61, 8) = 'EF010203' AND substr(h, 73, 4) = '2328'")

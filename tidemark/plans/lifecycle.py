@@ -14,6 +14,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..schema import TableSchema
 from ..sources.generate import trades
 from ..sources.table import Table
 from .events import DAY, NEXT_DAY, SCHEMA, _SHOWN, events, shown
@@ -122,6 +123,16 @@ def compact_manifest(spark, sf_dir):
     return _compacted(spark, sf_dir).manifest_rows()
 
 
+@query("SELECT event_id, epoch_ns(ts) AS ns FROM events")
+def narrow_open(spark, sf_dir):
+    """A table opened with a part of its columns, compacted, and read again."""
+    at = _compacted(spark, sf_dir).path
+    part = TableSchema(SCHEMA.name, [c for c in SCHEMA.columns if c.name in ("ns", "event_id")])
+    t = Table.open(spark, at, part)
+    t.compact([s.id for s in t.manifest.sealed_segments])
+    return Table.open(spark, at, part).scan_time_range(-(1 << 63), (1 << 63) - 1)
+
+
 @query(
     """SELECT i AS timestamp, CASE WHEN i % 2 = 0 THEN 'EURUSD  ' ELSE 'BTCUSD  ' END AS symbol,
   100::DOUBLE + (i % 10000) * 0.01::DOUBLE AS price, (1 + i % 100)::DOUBLE AS volume

@@ -148,7 +148,10 @@ def unframe(data: bytes, magic: bytes) -> list[tuple[int, bytes]]:
 
 
 def encode_payload(schema: TableSchema, columns: dict[str, list]) -> bytes:
-    """A batch as one payload: rows, columns, then each column's name, tag, width, count and values."""
+    """A batch as one payload: rows, columns, then each column's name, tag, width, count and values.
+
+    A FixedStr's values have their length (u32) in front of each.
+    """
     rows = len(columns[schema.names[0]])
     tags = {v: k for k, v in TAGS.items()}
     out = [struct.pack("<QQ", rows, len(schema.columns))]
@@ -158,7 +161,7 @@ def encode_payload(schema: TableSchema, columns: dict[str, list]) -> bytes:
         if c.dtype.width:
             out.append(struct.pack("<Q", c.dtype.width))
         out.append(struct.pack("<Q", len(values)))
-        out.append(b"".join(values) if c.dtype.width else np.array(values, _NUMPY[c.dtype.name]).tobytes())
+        out.append(b"".join(struct.pack("<I", len(v)) + v for v in values) if c.dtype.width else np.array(values, _NUMPY[c.dtype.name]).tobytes())
     return b"".join(out)
 
 
@@ -185,8 +188,12 @@ def decode_payload(schema: TableSchema, data: bytes) -> dict[str, list]:
             raise LogError(f"column {name} is {kind}, expected {c.name} as {c.dtype.name}")
         if (n := number("<Q")) != rows:
             raise LogError(f"{name} has {n} of {rows} rows")
-        raw = take(n * c.dtype.row_bytes)
-        out[name] = [raw[i : i + width] for i in range(0, len(raw), width)] if width else np.frombuffer(raw, _NUMPY[kind]).tolist()
+        if width:
+            out[name] = [take(number("<I")) for _ in range(n)]
+            if any(len(v) != width for v in out[name]):
+                raise LogError(f"{name} has values that are not {width} bytes")
+        else:
+            out[name] = np.frombuffer(take(n * 8), _NUMPY[kind]).tolist()
     if at != len(data):
         raise LogError("bytes after the last column")
     return out

@@ -37,14 +37,24 @@ class Table:
         self.spark, self.path, self.schema, self.manifest, self.records = spark, path, schema, manifest, records
         self.store = Store(spark, path)
         self._stored = T.StructType(schema.spark().fields + _ORDER)
+        whole = TableSchema.from_json(manifest.schema)
+        #: What the files hold: all columns, of which `schema` may name a part.
+        self._whole = T.StructType(whole.spark().fields + _ORDER)
+        self.narrow = whole.names != schema.names
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, schema: TableSchema) -> Table:
+        """The table at path, made if there is none.
+
+        A schema that names a part of the table's columns, with their types and its
+        time column, reads just those; flush and compact keep all, append is refused.
+        """
         store = Store(spark, path)
         for d in ("log", "segments"):
             store.make_dirs(d)
         manifest = Manifest.load(store, schema)
-        if manifest.schema["columns"] != schema.to_json()["columns"]:
+        known = {c["name"]: c for c in manifest.schema["columns"]}
+        if any(known.get(c["name"]) != c for c in schema.to_json()["columns"]) or schema.time_column != TableSchema.from_json(manifest.schema).time_column:
             raise SchemaError(f"{path} was made with other columns: {manifest.schema['columns']}")
         manifest.store(store)
         for name in store.list("log"):
@@ -72,6 +82,8 @@ class Table:
 
     def append(self, df: DataFrame) -> int:
         """Add rows; returns their number. Nothing is written to the table unless all of them fit."""
+        if self.narrow:
+            raise SchemaError(f"{self.path} has more columns than {self.schema.names}; open it with all of them to append")
         check_columns(df, self.schema)
         name = record_dir(self.records)
         seen = Observation()
@@ -89,8 +101,7 @@ class Table:
 
     def flush(self) -> SegmentRef | None:
         """Seal the rows that are in no segment yet; nothing happens if there are none."""
-        active = self._log(self.manifest.log_records_applied)
-        made = self._seal(active)
+        made = self._seal(self._log(self.manifest.log_records_applied, self._whole))
         if made is None:
             return None
         self.manifest.sealed_segments.append(made)
@@ -122,8 +133,14 @@ class Table:
         if unknown := wanted - {s.id for s in self.manifest.sealed_segments}:
             raise UnknownSegmentError(f"unknown segment ids {sorted(unknown)}")
         old = [s for s in self.manifest.sealed_segments if s.id in wanted]
-        rows = self._segments(old).orderBy("_seg", "_rec", "_row").drop("_seg", "_rec", "_row")
-        made = self._seal(rows.withColumns({"_rec": F.lit(0).cast("long"), "_row": F.monotonically_increasing_id()}))
+        rows = self._segments(old, stored=self._whole)
+        records = sorted(rows.groupBy("_seg").agg(F.min("_rec"), F.max("_rec")).collect())
+        if all(a[2] < b[1] for a, b in zip(records, records[1:])):
+            rows = rows.drop("_seg")  # records rise from segment to segment: the order is in the rows as they are
+        else:
+            rows = rows.orderBy("_seg", "_rec", "_row").drop("_seg", "_rec", "_row")
+            rows = rows.withColumns({"_rec": F.lit(0).cast("long"), "_row": F.monotonically_increasing_id()})
+        made = self._seal(rows)
         self.manifest.sealed_segments = [made if s is old[0] else s for s in self.manifest.sealed_segments if s is old[0] or s.id not in wanted]
         self.manifest.store(self.store)
         for s in old:
@@ -132,20 +149,22 @@ class Table:
 
     # --- reading
 
-    def _segments(self, refs: list[SegmentRef], ordered: bool = True) -> DataFrame:
+    def _segments(self, refs: list[SegmentRef], ordered: bool = True, stored: T.StructType | None = None) -> DataFrame:
         """Stored rows of segments; ordered: with `_seg`, their place among refs."""
+        stored = stored or self._stored
         if not refs:
-            return self.spark.createDataFrame([], T.StructType([*self._stored.fields, T.StructField("_seg", T.IntegerType())]))
-        df = self.spark.read.schema(self._stored).parquet(*[self.store.path(s.path) for s in refs])
+            return self.spark.createDataFrame([], T.StructType([*stored.fields, T.StructField("_seg", T.IntegerType())]))
+        df = self.spark.read.schema(stored).parquet(*[self.store.path(s.path) for s in refs])
         if not ordered:
             return df
         number = F.regexp_extract(F.col("_metadata.file_path"), r"/seg-([0-9]+)/[^/]*$", 1).cast("int")
         place = F.array_position(F.array(*[F.lit(s.id) for s in refs]), number).cast("int")
         return df.withColumn("_seg", place)
 
-    def _log(self, first: int = 0) -> DataFrame:
+    def _log(self, first: int = 0, stored: T.StructType | None = None) -> DataFrame:
+        stored = stored or self._stored
         paths = [self.store.path(record_dir(i)) for i in range(first, self.records)]
-        return self.spark.read.schema(self._stored).parquet(*paths) if paths else self.spark.createDataFrame([], self._stored)
+        return self.spark.read.schema(stored).parquet(*paths) if paths else self.spark.createDataFrame([], stored)
 
     def scan_time_range(self, start: int, end: int, ordered: bool = False) -> DataFrame:
         """Rows in [start, end): only segments that may hold some are read.
