@@ -203,14 +203,17 @@ def _pack(node: np.ndarray, code: np.ndarray | None, counts: np.ndarray) -> byte
     if code is None:
         return ef.save([node, _small(counts)])
     begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
-    return ef.save([node[begin], _small(np.diff(np.append(begin, len(node)))), code.astype(np.uint32), _small(counts)])
+    heads = node[begin]
+    up, n = np.unique(heads >> _U32, return_counts=True)  # a node's shard is written once for all its nodes
+    return ef.save([up.astype(np.uint32), n.astype(np.uint32), (heads & _LOW).astype(np.uint32), _small(np.diff(np.append(begin, len(node)))), code.astype(np.uint32), _small(counts)])
 
 
 def _unpack(blob: bytes):
     x = ef.load(np.frombuffer(blob, np.uint8))
     if len(x) == 2:
-        return x[0], np.zeros(len(x[0]), np.uint32), x[1].astype(np.int64)
-    return np.repeat(x[0], x[1]), x[2], x[3].astype(np.uint32)
+        return x[0], np.zeros(len(x[0]), np.uint32), x[1].astype(np.uint32)
+    heads = np.repeat(x[0].astype(np.uint64) << _U32, x[1]) | x[2]
+    return np.repeat(heads, x[3]), x[4], x[5].astype(np.uint32)
 
 
 def _summed(node: np.ndarray, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -293,7 +296,7 @@ def _written(blocks: DataFrame, level: int, path: str, shards: int, top: bool) -
                 given = np.add.reduceat(share, begin) if len(begin) else np.zeros(0)
                 up = (heads >> _U32).astype(np.int64)
                 for j in np.unique(up).tolist():
-                    out.append((j, ef.save([heads[up == j] & _LOW, given[up == j].astype(np.float32)])))
+                    out.append((j, ef.save([(heads[up == j] & _LOW).astype(np.uint32), np.round(np.minimum(given[up == j], 1.0) * 65535).astype(np.uint16)])))
             rows = out or [(None, None)]
             first = [1] + [0] * (len(rows) - 1)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int32()), pa.array([len(node) * f for f in first], pa.int64()), pa.array([total * f for f in first], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema.names)
@@ -313,7 +316,7 @@ def _weights(given: DataFrame, level: int, path: str, shards: int) -> None:
                     taken[k] = np.zeros(len(_trie(path, shards, level)._file(f"c{level}-{k}")[0]))
                 if blob is not None:
                     at, share = ef.load(np.frombuffer(blob, np.uint8))
-                    np.add.at(taken[k], at.astype(np.int64), share)
+                    np.add.at(taken[k], at.astype(np.int64), share / 65535)
         for k, t in taken.items():
             _runtime.put_file(f"{path}/g{level}-{k}", ef.save([_quantised(np.clip(1 - t, 1e-8, 1))]))
         yield pa.RecordBatch.from_arrays([pa.array(list(taken), pa.int32())], schema.names)
@@ -347,6 +350,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
             tokens, words = s["t"] or 0, s["n"] or 0
         else:
             _weights(made, level - 1, path, shards)
+        _runtime.drop(at)
     for name in [f"c{level}-{k}" for level in range(1, order) for k in range(shards)]:
         _runtime.drop(f"{path}/{name}")
     _runtime.drop(f"{path}-made")
