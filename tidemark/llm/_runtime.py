@@ -79,8 +79,9 @@ def tidy(spark: SparkSession) -> None:
     """Let Spark notice which shuffles are no longer referenced, so that their files go."""
     import gc
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the driver's Python tells of its last references with the next call
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def partitions(df: DataFrame, least: int = 1) -> int:

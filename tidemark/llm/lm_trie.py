@@ -135,11 +135,15 @@ class Trie:
             a[rows[hit]] = share[place[hit]]
         return out, a
 
+    def counts(self, level: int, shard: int) -> np.ndarray:
+        """How often each node's n-gram occurs; level 1 keeps that beside its words."""
+        return self._file("1-%d" % shard)[-1] if level == 1 else self._file(f"c{level}-{shard}")[0]
+
     def array(self, name: str, node: np.ndarray) -> np.ndarray:
         """Values of a per-node array (`g1`, `c2` and so on) at nodes."""
         out = np.zeros(len(node), np.int64)
         for k, rows in self._each(node >> 32):
-            values = self._file(f"{name}-{k}")[0]
+            values = self.counts(1, k) if name == "c1" else self._file(f"{name}-{k}")[0]
             out[rows] = values[node[rows] & 0xFFFFFFFF]
         return out
 
@@ -195,7 +199,7 @@ class _Batch:
 
 def _small(counts: np.ndarray) -> np.ndarray:
     top = int(counts.max()) if len(counts) else 0
-    return counts.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
+    return counts.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
 def _pack(node: np.ndarray, code: np.ndarray | None, counts: np.ndarray) -> bytes:
@@ -280,8 +284,7 @@ def _written(blocks: DataFrame, level: int, path: str, shards: int, top: bool) -
             parts[k] = []
             total, out = int(counts.sum()), []
             if level == 1:
-                _runtime.put_file(f"{path}/1-{k}", ef.save([*ef.build(node, _text.MASK), counts.astype(np.uint64)]))
-                _runtime.put_file(f"{path}/c1-{k}", ef.save([counts.astype(np.uint64)]))
+                _runtime.put_file(f"{path}/1-{k}", ef.save([*ef.build(node, _text.MASK), _small(counts)]))
             else:
                 keep = counts >= LEAST
                 node, code, counts = node[keep], code[keep], counts[keep]
@@ -292,7 +295,7 @@ def _written(blocks: DataFrame, level: int, path: str, shards: int, top: bool) -
                 arrays = [*ef.build(heads, int(heads[-1]) if len(heads) else 0), *ef.build(np.append(begin, len(node)), len(node)), code.astype(np.uint32), _quantised(share)]
                 _runtime.put_file(f"{path}/{level}-{k}", ef.save(arrays))
                 if not top:  # only longer n-grams ask for the counts
-                    _runtime.put_file(f"{path}/c{level}-{k}", ef.save([counts.astype(np.uint32)]))
+                    _runtime.put_file(f"{path}/c{level}-{k}", ef.save([_small(counts)]))
                 given = np.add.reduceat(share, begin) if len(begin) else np.zeros(0)
                 up = (heads >> _U32).astype(np.int64)
                 for j in np.unique(up).tolist():
@@ -313,7 +316,7 @@ def _weights(given: DataFrame, level: int, path: str, shards: int) -> None:
         for x in batches:
             for k, blob in zip(x.column("above").to_pylist(), x.column("given").to_pylist()):
                 if k not in taken:
-                    taken[k] = np.zeros(len(_trie(path, shards, level)._file(f"c{level}-{k}")[0]))
+                    taken[k] = np.zeros(len(_trie(path, shards, level).counts(level, k)))
                 if blob is not None:
                     at, share = ef.load(np.frombuffer(blob, np.uint8))
                     np.add.at(taken[k], at.astype(np.int64), share / 65535)
@@ -351,7 +354,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         else:
             _weights(made, level - 1, path, shards)
         _runtime.drop(at)
-    for name in [f"c{level}-{k}" for level in range(1, order) for k in range(shards)]:
+    for name in [f"c{level}-{k}" for level in range(2, order) for k in range(shards)]:
         _runtime.drop(f"{path}/{name}")
     _runtime.drop(f"{path}-made")
     return Model(path, shards, int(tokens), int(words), order)
