@@ -208,16 +208,22 @@ def _pack(node: np.ndarray, code: np.ndarray | None, counts: np.ndarray) -> byte
         return ef.save([node, _small(counts)])
     begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
     heads = node[begin]
-    up, n = np.unique(heads >> _U32, return_counts=True)  # a node's shard is written once for all its nodes
-    return ef.save([up.astype(np.uint32), n.astype(np.uint32), (heads & _LOW).astype(np.uint32), _small(np.diff(np.append(begin, len(node)))), code.astype(np.uint32), _small(counts)])
+    # a node's shard is written once for all its nodes, and a place as the step from the one before
+    up, first, n = np.unique(heads >> _U32, return_index=True, return_counts=True)
+    low = (heads & _LOW).astype(np.int64)
+    steps = np.diff(low, prepend=0)
+    steps[first] = 0
+    return ef.save([up.astype(np.uint32), n.astype(np.uint32), low[first].astype(np.uint32), _small(steps), _small(np.diff(np.append(begin, len(node)))), code.astype(np.uint32), _small(counts)])
 
 
 def _unpack(blob: bytes):
     x = ef.load(np.frombuffer(blob, np.uint8))
     if len(x) == 2:
         return x[0], np.zeros(len(x[0]), np.uint32), x[1].astype(np.uint32)
-    heads = np.repeat(x[0].astype(np.uint64) << _U32, x[1]) | x[2]
-    return np.repeat(heads, x[3]), x[4], x[5].astype(np.uint32)
+    n, steps = x[1].astype(np.int64), np.cumsum(x[3], dtype=np.int64)
+    low = steps + np.repeat(x[2].astype(np.int64) - steps[np.cumsum(n) - n], n)
+    heads = np.repeat(x[0].astype(np.uint64) << _U32, n) | low.astype(np.uint64)
+    return np.repeat(heads, x[4]), x[5], x[6].astype(np.uint32)
 
 
 def _summed(node: np.ndarray, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
