@@ -108,15 +108,17 @@ class Sequence:
 
 def successor(get, start: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """First place in [start, end) whose value is at least the wanted one (else end); values rise within each range."""
-    a, b = start.copy(), end.copy()
-    todo = np.flatnonzero(a < b)
+    out = start.copy()
+    todo = np.flatnonzero(start < end)
+    a, b, wanted = start[todo], end[todo], wanted[todo]
     while len(todo):
-        middle = (a[todo] + b[todo]) >> 1
-        less = get(middle) < wanted[todo]
-        a[todo[less]] = middle[less] + 1
-        b[todo[~less]] = middle[~less]
-        todo = todo[a[todo] < b[todo]]
-    return a
+        middle = (a + b) >> 1
+        less = get(middle) < wanted
+        a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+        open_ = a < b
+        out[todo] = a
+        todo, a, b, wanted = todo[open_], a[open_], b[open_], wanted[open_]
+    return out
 
 
 def save(arrays: list[np.ndarray]) -> bytes:

@@ -3,7 +3,8 @@
 Level 1 holds the words' 64-bit hashes; level n holds, below each node of level
 n - 1, the 32-bit codes of the words that followed it at least LEAST times.  A
 level is cut into shards by a hash of (node, code), so that a frequent word's
-successors are spread.  In a shard the nodes are an Elias-Fano sequence, where
+successors are spread.  A node's number is its place in its shard times the number
+of shards plus its shard, so that numbers lie close together.  In a shard the nodes are an Elias-Fano sequence, where
 each one's successors begin is another (monotone pointers), and a word is found
 by successor search among the codes of its context only.  Probabilities and
 back-off weights are one byte each.  Shards are written by the tasks that count
@@ -38,7 +39,6 @@ BLOCK = 3 << 20
 END = np.uint64(_text.mix_int(77))
 _SCALE = 255 / 8.0
 _U32 = np.uint64(32)
-_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _quantised(p: np.ndarray) -> np.ndarray:
@@ -83,6 +83,7 @@ class Trie:
         return self._open[name]
 
     def _each(self, shard: np.ndarray):
+        shard = _small(shard)  # narrow numbers are sorted by radix
         order = np.argsort(shard, kind="stable")
         cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for k in range(self.shards):
@@ -99,7 +100,7 @@ class Trie:
             rows = rows[np.argsort(h[rows])]
             at = ef.Sequence(*words).find(h[rows])
             hit = at >= 0
-            node[rows[hit]] = k << 32 | at[hit]
+            node[rows[hit]] = at[hit] * self.shards + k
             count[rows[hit]] = counts[at[hit]]
         return node, count
 
@@ -131,7 +132,7 @@ class Trie:
             place = ef.successor(lambda i: codes[i], start, end, wanted)
             hit = place < end
             hit[hit] = codes[place[hit]] == wanted[hit]
-            out[rows[hit]] = k << 32 | place[hit]
+            out[rows[hit]] = place[hit] * self.shards + k
             a[rows[hit]] = share[place[hit]]
         return out, a
 
@@ -142,9 +143,10 @@ class Trie:
     def array(self, name: str, node: np.ndarray) -> np.ndarray:
         """Values of a per-node array (`g1`, `c2` and so on) at nodes."""
         out = np.zeros(len(node), np.int64)
-        for k, rows in self._each(node >> 32):
+        place = node // self.shards
+        for k, rows in self._each(node - place * self.shards):
             values = self.counts(1, k) if name == "c1" else self._file(f"{name}-{k}")[0]
-            out[rows] = values[node[rows] & 0xFFFFFFFF]
+            out[rows] = values[place[rows]]
         return out
 
 
@@ -173,8 +175,10 @@ class _Batch:
         self.own, self.words = pd.factorize(self.h)
         if trie is not None:
             node, count = trie.words(self.words)
-            self.node, self.count = node[self.own], count[self.own]
-            self.nodes = {1: self.node}
+            self.count = count[self.own]
+            self.nodes = {1: node[self.own]}
+            #: Of each level, the tokens looked up, which of the distinct n-grams is theirs, and their nodes.
+            self.distinct = {1: (slice(None), self.own, node)}
 
     def extend(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Node of the n-gram of this level that ends at each token, or -1, and its a; the same n-gram is looked up once."""
@@ -193,9 +197,22 @@ class _Batch:
             where[own[::-1]] = np.arange(len(own))[::-1]
             got, share = self.trie.find(level, above[rows[where]], _codes(self.h[rows[where]]))
             node[rows], a[rows] = got[own], share[own]
+            self.distinct[level] = rows, own, got
         self.nodes[level] = node
         return node, a
 
+    def left(self, level: int) -> np.ndarray:
+        """What the n-gram of this level that ends before each token leaves to the shorter context; 1 if there is none."""
+        out = np.ones(len(self.h) + 1)
+        if level in self.distinct:
+            rows, own, node = self.distinct[level]
+            g = np.ones(len(node))
+            g[node >= 0] = _VALUE[self.trie.array(f"g{level}", node[node >= 0])]
+            out[1:][rows] = g[own]
+        out = out[:-1]
+        out[self.first] = 1.0
+        return out
+
 
 def _small(counts: np.ndarray) -> np.ndarray:
     top = int(counts.max()) if len(counts) else 0
@@ -208,22 +225,15 @@ def _pack(node: np.ndarray, code: np.ndarray | None, counts: np.ndarray) -> byte
         return ef.save([node, _small(counts)])
     begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
     heads = node[begin]
-    # a node's shard is written once for all its nodes, and a place as the step from the one before
-    up, first, n = np.unique(heads >> _U32, return_index=True, return_counts=True)
-    low = (heads & _LOW).astype(np.int64)
-    steps = np.diff(low, prepend=0)
-    steps[first] = 0
-    return ef.save([up.astype(np.uint32), n.astype(np.uint32), low[first].astype(np.uint32), _small(steps), _small(np.diff(np.append(begin, len(node)))), code.astype(np.uint32), _small(counts)])
+    # a node is the step from the one before
+    return ef.save([heads[:1], _small(np.diff(heads, prepend=heads[:1])), _small(np.diff(np.append(begin, len(node)))), code.astype(np.uint32), _small(counts)])
 
 
 def _unpack(blob: bytes):
     x = ef.load(np.frombuffer(blob, np.uint8))
     if len(x) == 2:
         return x[0], np.zeros(len(x[0]), np.uint32), x[1].astype(np.uint32)
-    n, steps = x[1].astype(np.int64), np.cumsum(x[3], dtype=np.int64)
-    low = steps + np.repeat(x[2].astype(np.int64) - steps[np.cumsum(n) - n], n)
-    heads = np.repeat(x[0].astype(np.uint64) << _U32, n) | low.astype(np.uint64)
-    return np.repeat(heads, x[4]), x[5], x[6].astype(np.uint32)
+    return np.repeat(x[0] + np.cumsum(x[1], dtype=np.uint64), x[2]), x[3], x[4].astype(np.uint32)
 
 
 def _summed(node: np.ndarray, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,7 +273,8 @@ def _counted(train: DataFrame, level: int, path: str, shards: int) -> DataFrame:
                 where[own[::-1]] = np.arange(len(own))[::-1]
                 node, code = node[where], code[where]
                 shard = _shard(node, code, shards)
-            order = np.lexsort((node, shard))
+            order = np.argsort(node)
+            order = order[np.argsort(_small(shard[order]), kind="stable")]
             cut = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
             rows = []
             for k in range(shards):
@@ -294,18 +305,19 @@ def _written(blocks: DataFrame, level: int, path: str, shards: int, top: bool) -
             else:
                 keep = counts >= LEAST
                 node, code, counts = node[keep], code[keep], counts[keep]
-                context = _trie(path, shards, level - 1).array(f"c{level - 1}", node.astype(np.int64))
-                share = (counts - DISCOUNT) / np.maximum(context, counts)
                 begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
                 heads = node[begin]
+                trie = _trie(path, shards, level - 1)
+                context = np.repeat(trie.array(f"c{level - 1}", heads.astype(np.int64)), np.diff(np.append(begin, len(node))))
+                share = (counts - DISCOUNT) / np.maximum(context, counts)
                 arrays = [*ef.build(heads, int(heads[-1]) if len(heads) else 0), *ef.build(np.append(begin, len(node)), len(node)), code.astype(np.uint32), _quantised(share)]
                 _runtime.put_file(f"{path}/{level}-{k}", ef.save(arrays))
                 if not top:  # only longer n-grams ask for the counts
                     _runtime.put_file(f"{path}/c{level}-{k}", ef.save([_small(counts)]))
                 given = np.add.reduceat(share, begin) if len(begin) else np.zeros(0)
-                up = (heads >> _U32).astype(np.int64)
-                for j in np.unique(up).tolist():
-                    out.append((j, ef.save([(heads[up == j] & _LOW).astype(np.uint32), np.round(np.minimum(given[up == j], 1.0) * 65535).astype(np.uint16)])))
+                place = (heads // np.uint64(shards)).astype(np.int64)
+                for j, rows in trie._each(heads.astype(np.int64) - place * shards):
+                    out.append((j, ef.save([place[rows].astype(np.uint32), np.round(np.minimum(given[rows], 1.0) * 65535).astype(np.uint16)])))
             rows = out or [(None, None)]
             first = [1] + [0] * (len(rows) - 1)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int32()), pa.array([len(node) * f for f in first], pa.int64()), pa.array([total * f for f in first], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema.names)
@@ -394,13 +406,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for level in range(2, levels + 1):
             _, a = b.extend(level)
             hit = b.nodes[level] >= 0
-            above = np.full(len(b.h), -1, np.int64)
-            above[1:] = b.nodes[level - 1][:-1]
-            above[b.first] = -1
-            rows = np.flatnonzero(above >= 0)
-            g = np.ones(len(b.h))
-            g[rows] = _VALUE[trie.array(f"g{level - 1}", above[rows])]
-            p = g * p
+            p = b.left(level - 1) * p
             p[hit] += _VALUE[a[hit]]
         return b.n, known, base, np.add.reduceat(np.log10(np.minimum(p, 1.0)), at)
 
