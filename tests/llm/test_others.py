@@ -157,6 +157,44 @@ def test_languages(spark):
     assert {x["lang_pred"] for x in lang_id.predict(df.limit(5), none).collect()} == {"und"}
 
 
+def plain_counts(text):
+    """Cells of a text's n-grams, one after another."""
+    s = [32, *(int(lang_id._SIGN[b]) for b in (text or "").encode()), 32]
+    out, m, shift = np.zeros(lang_id.CELLS), 0xFFFFFFFF, 34 - lang_id.CELLS.bit_length()
+    two = lambda a, b: (a * 0x9E3779B1 & m ^ b * 0x85EBCA77 & m) * 0xC2B2AE3D & m
+    for a, b in zip(s, s[1:]):
+        out[two(a, b) >> shift] += (a, b) != (32, 32)
+    for a, b, c in zip(s, s[1:], s[2:]):
+        out[((two(a, b) ^ c * 0x27D4EB2F & m) * 0x165667B1 & m) >> shift | lang_id.CELLS // 2] += b != 32 or (a != 32 and c != 32)
+    return out
+
+
+def test_prediction_is_the_nearest_centroid(spark):
+    r = random.Random(9)
+    texts = [(i, None if i == 7 else " ".join("".join(r.choice(p) for _ in range(4)) for _ in range(r.randrange(0, 40))), k) for i in range(90) for k, p in [r.choice([("a", "abcdé"), ("b", "cdefg"), ("c", "fghi ")])]]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    model = lang_id.fit(df, F.col("doc_id") % 3 != 1)
+    train = [(t, k) for i, t, k in texts if i % 3 != 1 and t is not None]
+    seen = sum((plain_counts(t) > 0).astype(int) for t, _ in train)
+    assert model.idf == pytest.approx(np.log((1 + len(train)) / (1 + seen)) + 1, rel=1e-5)
+    assert {k: min(4, sum(l == k for _, l in train)) >= model.langs.count(k) > 0 for k in "abc"} == dict.fromkeys("abc", True)
+    for x in lang_id.predict(df.drop("lang"), model).collect():
+        v = np.log1p(plain_counts(x["text"])) * model.idf
+        cos = model.vectors @ (v / max(1e-12, np.linalg.norm(v)))
+        if not (x["text"] or "").strip():
+            assert (x["lang_pred"], x["score"], x["rejected"]) == ("und", 0.0, True)
+        else:
+            assert x["score"] == pytest.approx(cos.max(), abs=1e-5) and x["lang_pred"] in {k for k, c in zip(model.langs, cos) if c > cos.max() - 1e-5}
+
+
+def test_cutting_a_long_text_changes_nothing(monkeypatch):
+    texts = ["déf, abc! " * 50, "x", None, "  a  " * 90]
+    whole = [next(lang_id.counts(pa.array([t], pa.string())))[1][0] for t in texts]
+    monkeypatch.setattr(lang_id._text, "BLOCK", 16)
+    for t, w in zip(texts, whole):
+        assert (next(lang_id.counts(pa.array([t], pa.string())))[1][0] == w).all() and (plain_counts(t) == w).all()
+
+
 def test_long_texts_count_like_short_ones():
     t = "abc déf " * 200_000
     whole = next(lang_id.counts(pa.array([t])))[1]
@@ -189,6 +227,28 @@ def test_url_rules_match_sql(spark, tmp_path):
     assert "Python" not in got._jdf.queryExecution().toString()
 
 
+def test_thousands_of_rules(spark):
+    r = random.Random(8)
+    names = ["%s%d" % (r.choice("abcdefgh"), i) for i in range(900)]
+    rules = sorted({url_filters.host_rule(r.choice(["allow", "block"]), f"{r.choice(names)}.{r.choice(['com', 'net'])}", r.choice(["/", "/x/", f"/{r.choice(names)}/"])).name: 0 for _ in range(2600)})
+    rules = [url_filters.host_rule("block" if i % 2 else "allow", *n.split("/", 1)[:1], "/" + n.split("/", 1)[1]) for i, n in enumerate(rules)]
+    urls = [f"http://{r.choice(['', 'www.', 'y-'])}{r.choice(names)}.{r.choice(['com', 'net', 'org'])}/{r.choice(['', 'x/1', r.choice(names) + '/', 'q'])}" for _ in range(1500)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {x["page_id"]: (x["rule"], x["verdict"]) for x in url_filters.judge(df, "url", rules).collect()}
+    assert len(rules) > url_filters.MAX_RULES
+    hit = 0
+    for i, u in enumerate(urls):
+        host, path = u[7:].split("/", 1)
+        fits = [x for x in rules for h, p in [x.name.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = min(fits, key=lambda x: (-x.rank, x.name), default=None)
+        hit += best is not None
+        assert got[i] == ((best.name, best.verdict) if best else (None, "allow")), u
+    assert hit > 300
+    few = url_filters.judge(df.limit(200), "url", rules[:400], max_rules=400), url_filters.judge(df.limit(200), "url", rules[:400], max_rules=0)
+    one, two = (sorted(map(str, x.select("page_id", "rule", "verdict").collect())) for x in few)
+    assert one == two
+
+
 def test_rules_are_filed_under_their_rarest_token(spark):
     rules = [url_filters.host_rule("block", "example.org", "/es/")]
     df = spark.createDataFrame([(["example", "org"],), (["org", "es"],), (["org", "es", "example"],), (["es"],)], "_tokens array<string>")

@@ -40,15 +40,19 @@ def _cells(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(n, dtype=np.int32), size + 2)
     x = np.full(len(row), 32, np.uint32)
     x[np.arange(len(buf)) + 2 * np.repeat(np.arange(n), size) + 1] = _SIGN[buf]
-    same = row[1:] == row[:-1]
+    two, three, ok2, ok3 = _hashed(x, row[1:] == row[:-1])
+    return np.concatenate([two[ok2], three[ok3]]).astype(np.int64), np.concatenate([row[:-1][ok2], row[:-2][ok3]]).astype(np.int64)
+
+
+def _hashed(x: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Cells of all bigrams and trigrams of signs, and which of them count; same: whether a sign's next is of its row."""
     two = (x[:-1] * np.uint32(0x9E3779B1) ^ x[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)
     space = x == 32
     ok2 = same & ~(space[1:] & space[:-1])
     ok3 = same[1:] & same[:-1] & ~(space[1:-1] & (space[2:] | space[:-2]))
     three = (two[:-1] ^ x[2:] * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1)
     shift = np.uint32(34 - CELLS.bit_length())  # to CELLS / 2
-    cells = np.concatenate([two[ok2] >> shift, (three[ok3] >> shift) + _HALF]).astype(np.int64)
-    return cells, np.concatenate([row[:-1][ok2], row[:-2][ok3]]).astype(np.int64)
+    return two >> shift, (three >> shift) + _HALF, ok2, ok3
 
 
 def counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -60,10 +64,13 @@ def counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         while b < len(texts) and b - a < _ROWS and off[b + 1] - off[a] <= _text.BLOCK:
             b += 1
         total = np.zeros((b - a) * CELLS, np.float32)
-        if b - a == 1:  # one text, perhaps a very long one: by pieces that share two bytes
-            for p in range(int(off[a]), max(int(off[b]), int(off[a]) + 1), _text.BLOCK):
-                q = min(int(off[b]), p + _text.BLOCK)
-                total += np.bincount(_cells(buf[max(int(off[a]), p - 2) : q], np.array([0, q - max(int(off[a]), p - 2)]))[0], minlength=CELLS)
+        if b - a == 1:  # one text, perhaps a very long one: by pieces, each n-gram where it ends
+            signs = np.concatenate([[32], _SIGN[buf[off[a] : off[b]]], [32]]).astype(np.uint8)
+            for p in range(0, len(signs), _text.BLOCK):
+                x = signs[max(0, p - 2) : p + _text.BLOCK].astype(np.uint32)
+                two, three, ok2, ok3 = _hashed(x, np.ones(len(x) - 1, bool))
+                ok2[:1] &= p == 0  # else it ended in the piece before
+                total += np.bincount(np.concatenate([two[ok2], three[ok3]]).astype(np.int64), minlength=CELLS)
         else:
             cells, rows = _cells(buf[off[a] : off[b]], off[a : b + 1] - off[a])
             total += np.bincount(rows * CELLS + cells, minlength=len(total))
