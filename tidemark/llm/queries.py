@@ -96,5 +96,18 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM m
 """
 
+#: All shingles, all pairs that share one, and what can be reached over links.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM l JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_compact_windows, op3_kneser_ney, op4_ef_trie, op5_bottom_k_dedup, op6_audio_features, op7_bpe_transducer, op8_language_id, op9_fingerprints, op10_url_filters)}
-ORACLE_SQL = {"op10_url_filters": OP10_SQL}
+ORACLE_SQL = {"op5_bottom_k_dedup": OP5_SQL, "op10_url_filters": OP10_SQL}
