@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from brute import WORD, shingle_set
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, components, fingerprints, lang_id, pareto_mix, queries, url_filters
+from tidemark.llm import _runtime, audio, components, fingerprints, lang_id, pareto_mix, queries, url_filters
 
 
 # --- mixing ---------------------------------------------------------------------
@@ -255,6 +256,17 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert url_filters.rarest_tokens(df, rules)[rules[0]] == "example"
 
 
+# --- shared folder --------------------------------------------------------------
+
+
+def test_no_local_folder_on_a_cluster():
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn", getConf=dict))
+    with pytest.raises(ValueError):
+        _runtime.shared_root(session)
+    session.conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert _runtime.shared_root(session) == "hdfs://x/y"
+
+
 # --- components -----------------------------------------------------------------
 
 

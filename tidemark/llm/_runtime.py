@@ -27,12 +27,14 @@ def tune(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset (tests, local mode) a temporary folder is made and
-    set as the context's checkpoint folder.
+    Only where it is unset in local mode (tests) a temporary folder is made; on a
+    cluster that is an error, as executors could not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = getattr(spark.sparkContext, "_tidemark_shared", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
             spark.sparkContext._tidemark_shared = root
@@ -41,11 +43,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one; removed when the driver ends."""
+    """A new folder below the shared one; removed when the driver ends, on a store only if the session still runs then."""
     path = f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
     if is_local(path):
         os.makedirs(local(path), exist_ok=True)
-        atexit.register(shutil.rmtree, local(path), ignore_errors=True)
+    atexit.register(drop, path)
     return path
 
 
