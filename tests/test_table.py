@@ -163,3 +163,12 @@ def test_compaction_keeps_the_order_of_segments(spark, tmp_path):
     assert [r["n"] for r in t.scan_time_range(0, 200, ordered=True).collect()] == order
     t.compact([2, 4, 5])
     assert [r["n"] for r in t.scan_time_range(0, 200, ordered=True).collect()] == order
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidemark.plans.lifecycle import _folder
+
+    with pytest.raises(ValueError):
+        _folder(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn")))
