@@ -115,6 +115,48 @@ def test_media_round_trip(spark):
     t = audio.tensors(full["chunks"])
     assert t.type.shape == [audio.FRAMES, audio.MELS] and t.to_numpy_ndarray().shape[1:] == (16, 24)
     assert audio.digests(df.limit(0)).count() == 0
+    chunks, spans, found = audio.analyse(audio.payload(texts[3])[0])
+    row = [r for r in full.to_pylist() if r["doc_id"] == 3][0]
+    assert np.array_equal(np.array(row["chunks"], np.float32).reshape(chunks.shape), chunks)
+    assert [(s["start"], s["end"]) for s in row["chunk_spans"]] == spans and [(s["start"], s["end"]) for s in row["segments"]] == found
+    assert got[3]["feature"] == audio.feature_text(chunks, spans, found)
+
+
+def test_features_by_their_definition():
+    """Every step of a sound's features again, sample by sample."""
+    rng = np.random.default_rng(8)
+    raw = bytes(rng.integers(0, 256, 576 * 9, dtype=np.uint8))
+    x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
+    up, down = audio.UP, audio.DOWN
+    wide, half = max(up, down), 8 * max(up, down)
+    window = np.hanning(2 * half + 3)[1:-1]
+    h = np.sinc((np.arange(2 * half + 1) - half) / wide) * window
+    h *= up / h.sum()
+    zeros = np.zeros(len(x) * up)
+    zeros[::up] = x
+    low = np.convolve(zeros, h)[half : half + len(zeros)][::down]
+    assert len(low) == -(-len(x) * up // down) and np.abs(low - audio.resample(x.astype(np.float32))).max() < 1e-4
+    rate = audio.RATE * up / down
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    hz = 700 * (10 ** (np.linspace(mel(40), mel(rate / 2), audio.MELS + 2) / 2595) - 1)
+    frames = [low[a : a + audio.FRAME] for a in range(0, len(low) - audio.FRAME + 1, audio.HOP)]
+    want, energy = [], []
+    for f in frames:
+        power = np.abs(np.fft.rfft(f * np.hanning(audio.FRAME))) ** 2
+        bins = np.arange(len(power)) * rate / audio.FRAME
+        want.append([np.log10(sum(p * max(0, min((b - hz[m]) / (hz[m + 1] - hz[m]), (hz[m + 2] - b) / (hz[m + 2] - hz[m + 1]))) for p, b in zip(power, bins)) + 1e-6) for m in range(audio.MELS)])
+        energy.append(10 * np.log10(power.mean() + 1e-9))
+    chunks, spans, found = audio.analyse(raw)
+    assert np.abs(chunks.reshape(-1, audio.MELS)[: len(want)] - np.array(want)).max() < 1e-2
+    step, middle, on, segs = audio.HOP / rate, np.median(energy), False, []
+    for i, e in enumerate(energy):
+        if not on and e > middle + audio.UPPER_DB:
+            on, first = True, i
+        elif on and e < middle + audio.LOWER_DB:
+            on = False
+            segs.append((first * step, i * step))
+    segs += [(first * step, len(energy) * step)] if on else []
+    assert found == pytest.approx(segs) and spans[0] == (0, pytest.approx(min(audio.FRAMES, len(energy)) * step))
 
 
 def test_resampling_keeps_a_tone():

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _runtime
 
-RATE, UP, DOWN = 16_000, 1, 2
+RATE, UP, DOWN = 16_000, 5, 8
 FRAME, HOP, MELS, FRAMES = 256, 128, 24, 16
 UPPER_DB, LOWER_DB = 1.0, -1.0
 PAD = 576
@@ -78,13 +78,13 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
     bank = _BANKS[up, down]
     taps = bank.shape[1]
     n = -(-len(x) * up // down)
-    left = (2 * 8 * max(up, down) + 1) // 2 // up
-    padded = np.concatenate([np.zeros(taps, np.float32), x.astype(np.float32), np.zeros(taps + left + 1, np.float32)])
+    middle = 8 * max(up, down)  # the filter's middle tap
+    padded = np.concatenate([np.zeros(taps, np.float32), x.astype(np.float32), np.zeros(taps + middle // up + 1, np.float32)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
     out = np.empty(n, np.float32)
     for first in range(min(up, n)):  # outputs first, first + up, ... share a phase
-        at = first * down
-        phase, start = (at + left * up) % up, (at // up) + left + 1
+        at = first * down + middle
+        phase, start = at % up, at // up + 1
         k = len(out[first::up])
         for a in range(0, k, 1 << 16):
             b = min(k, a + (1 << 16))
@@ -148,13 +148,28 @@ def analyse(samples: bytes, rate: int = RATE) -> tuple[np.ndarray, list, list]:
     return chunks.reshape(n, FRAMES, MELS), spans, found
 
 
+_TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
+
+
 def tensors(column: pa.Array) -> pa.FixedShapeTensorArray:
     """All chunks of a `chunks` column as fixed-shape Arrow tensors."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten()
     storage = pa.FixedSizeListArray.from_arrays(flat.flatten().cast(pa.float32()), FRAMES * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS)), storage)
+    return pa.ExtensionArray.from_storage(_TENSOR, storage)
+
+
+def _column(made: list[np.ndarray]) -> pa.Array:
+    """The chunks of some sounds as one column: tensors without copies, a list of them a sound."""
+    flat = np.concatenate(made) if made else np.zeros((0, FRAMES, MELS), np.float32)
+    storage = pa.FixedShapeTensorArray.from_numpy_ndarray(flat).storage if len(flat) else pa.array([], _TENSOR.storage_type)
+    ends = np.concatenate([[0], np.cumsum([len(c) for c in made])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), storage.cast(pa.list_(pa.float32())))
+
+
+def _named(made: list[list[tuple[float, float]]]) -> pa.Array:
+    return pa.array([[{"start": p, "end": q} for p, q in s] for s in made], pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])))
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
@@ -166,16 +181,13 @@ def features(df: DataFrame, media: str = "media") -> DataFrame:
     new = {"chunks": T.ArrayType(T.ArrayType(T.FloatType())), "chunk_spans": _SPANS, "segments": _SPANS}
     kept = [f for f in df.schema.fields if f.name not in new]
     schema = T.StructType(kept + [T.StructField(k, v) for k, v in new.items()])
-    span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for a in range(0, x.num_rows, 64):
                 part = x.slice(a, 64)
                 made = [analyse(*from_wav(m)) if m else analyse(b"") for m in part.column(media).to_pylist()]
-                named = lambda s: [{"start": p, "end": q} for p, q in s]
-                chunks = pa.array([list(c.reshape(len(c), -1)) for c, _, _ in made], pa.list_(pa.list_(pa.float32())))
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], chunks, pa.array([named(s) for _, s, _ in made], span), pa.array([named(s) for _, _, s in made], span)], schema.names)
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], _column([c for c, _, _ in made]), _named([s for _, s, _ in made]), _named([s for _, _, s in made])], schema.names)
 
     return df.transform(_runtime.mapped, run, schema)
 
@@ -207,17 +219,20 @@ def feature_text(chunks: np.ndarray, spans: list, found: list) -> str:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """What op6 returns: each stored sound is read back, measured and named by its features."""
+    """What op6 returns: each stored sound is read back, and its tensors and spans are named."""
     schema = _runtime.schema("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda b: hashlib.sha256(b).hexdigest()
+        pairs = lambda s: [(p["start"], p["end"]) for p in s]
         for x in batches:
+            flat, ends = tensors(x.column("chunks")).to_numpy_ndarray(), np.concatenate([[0], np.cumsum(x.column("chunks").value_lengths())])
             rows = []
-            for doc_id, media, n in zip(*(x.column(c).to_pylist() for c in ("doc_id", "media", "n_bytes"))):
-                back, rate = from_wav(media)
-                rows.append((doc_id, n, len(back), sha(back), zlib.crc32(back[-32:]), len(media), sha(media), feature_text(*analyse(back, rate))))
+            for i, (doc_id, media, n, spans, found) in enumerate(zip(*(x.column(c).to_pylist() for c in ("doc_id", "media", "n_bytes", "chunk_spans", "segments")))):
+                back, _ = from_wav(media)
+                rows.append((doc_id, n, len(back), sha(back), zlib.crc32(back[-32:]), len(media), sha(media), feature_text(flat[ends[i] : ends[i + 1]], pairs(spans), pairs(found))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (0, 1, 2, 4, 5) else pa.string()) for i, c in enumerate(zip(*rows))], schema.names)
 
-    return with_media(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text").transform(_runtime.mapped, run, schema)
+    stored = with_media(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
+    return features(stored).transform(_runtime.mapped, run, schema)
