@@ -1,9 +1,16 @@
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.__main__ import main
-from tidemark.errors import BatchError, LogError
+from tidemark import doctor
+from tidemark.__main__ import LOG, main
+from tidemark.errors import BatchError, ConfigError, LogError
+from tidemark.functions import devices
+from tidemark.operators import rows
 from tidemark.schema import F64, I64, TIMESTAMP, TableSchema, fixed_str
-from tidemark.sources import raw
+from tidemark.sources import batch, config, raw
+from tidemark.streaming import bursts
 
 SYM = TableSchema("ticks", [("timestamp", TIMESTAMP), ("price", F64), ("symbol", fixed_str(4))])
 MAGIC = b"TEST"
@@ -66,3 +73,69 @@ def test_command_line(spark, tmp_path, capsys):
         assert main(["bench", "--path", f"{tmp_path}/t", "--rows-per-batch", "100", "--batches", "2", "--scan-iterations", "1", "--compact", "--history", f"{tmp_path}/h"]) == 0
     out = capsys.readouterr().out
     assert "db_append: 200 rows" in out and "before:" in out
+
+
+def test_doctor_and_exit_codes(tmp_path, capsys):
+    (tmp_path / "meminfo").write_text("HugePages_Total:       4\nHugePages_Free:   3\nHugepagesize:    2048 kB\n")
+    (tmp_path / "bus/pci/devices/0000:01:00.0").mkdir(parents=True)
+    (tmp_path / "drivers/nvme").mkdir(parents=True)
+    (tmp_path / "bus/pci/devices/0000:02:00.0").mkdir()
+    (tmp_path / "bus/pci/devices/0000:02:00.0/driver").symlink_to(tmp_path / "drivers/nvme")
+    found = {c.name: (c.state, c.detail) for c in doctor.checks(True, [str(tmp_path), f"{tmp_path}/no"], ["0000:01:00.0", "0000:02:00.0", "x", " "], str(tmp_path), str(tmp_path))}
+    assert found["hugepages"] == ("ok", "total=4 free=3 size=2048 kB") and found["vfio"][0] == "warn"
+    assert [found[k][0] for k in (f"folder {tmp_path}", f"folder {tmp_path}/no", "pci 0000:01:00.0", "pci 0000:02:00.0", "pci x")] == ["ok", "fail", "warn", "ok", "fail"]
+    assert found["pci 0000:02:00.0"][1] == "driver=nvme"
+    assert [doctor.checks(need, proc=f"{tmp_path}/no")[1].state for need in (False, True)] == ["warn", "fail"]
+    assert main(["doctor"]) == 0 and main(["doctor", "--folder", f"{tmp_path}/no"]) == 2
+    assert main(["bench", "--path", "x", "--backend", "spdk"]) == 3
+    capsys.readouterr()
+    assert main(["--trace-json", "config", "default"]) == 0
+    LOG.info("phase", extra={"fields": {"units": 3}})
+    assert json.loads(capsys.readouterr().err)["fields"] == {"units": 3}
+    main(["config", "default"])
+
+
+def test_bursts(spark, tmp_path):
+    df = spark.createDataFrame([(0, b"abc"), (1, b"de"), (0, b"f")], "queue int, packet binary")
+    assert {tuple(r) for r in bursts.send(df, f"{tmp_path}/b", 2).collect()} == {(0, 2, 4), (1, 1, 2)}
+    for bad in (df.limit(0), df.withColumn("queue", F.lit(2))):
+        with pytest.raises(Exception, match="empty|InvalidQueue"):
+            bursts.send(bad, f"{tmp_path}/bad", 2)
+    with pytest.raises(BatchError):
+        bursts.receive(spark, f"{tmp_path}/b", 2, 2)
+    q = bursts.receive(spark, f"{tmp_path}/b", 0, 2).writeStream.format("memory").queryName("burst").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(bytes(r["packet"]) for r in spark.table("burst").collect()) == [b"abc", b"f"]
+
+
+def test_admission_without_queues(spark):
+    asked = spark.createDataFrame([("namespace", 1, 0, 512), ("namespace", 1, 0, 0), ("namespace", None, 0, 512), (None, 1, 0, 512)], "kind string, nsid long, offset long, length long")
+    spaces = spark.createDataFrame([(1, 512, 10, 4096)], "nsid long, sector_size long, capacity long, max_io_size long")
+    got = devices.admit(asked, spaces, spark.createDataFrame([], "queue_id long")).select("error").collect()
+    assert sorted(r[0] for r in got) == ["InvalidTarget", "NamespaceNotFound", "NoQueuePairs", "ZeroLength"]
+
+
+def test_differences(spark):
+    a = spark.createDataFrame([(0, 1.0), (1, float("nan")), (2, None), (3, 0.0)], "i long, x double")
+    assert [r["i"] for r in rows.differences(a, a, "i").collect()] == [1]
+    b = a.where("i <> 1").union(spark.createDataFrame([(4, 1.0)], a.schema))
+    assert {(r["i"], r["columns"][0]) for r in rows.differences(a, b, "i").collect()} == {(1, "missing"), (4, "missing")}
+    with pytest.raises(BatchError):
+        rows.differences(a, a.withColumnRenamed("x", "y"), "i")
+
+
+def test_sections(spark, tmp_path):
+    c = config.parse('[dpdk]\nrx_queues = 4\n[db]\npath = "%s"\nsegment_rows = 3\n' % (tmp_path / "t"))
+    assert c.sections["dpdk"]["rx_queues"] == 4 and c.sections["uring"]["sq_depth"] == 4096 and config.parse(config.to_toml(c)) == c
+    for bad in ("[reactor]\npoll_cores = []", "[bufpool]\ncount = 0", "[dpdk]\npci_addr = ''", "[uring]\nnope = 1", "[spdk]\ndevices = [1]", "[uring]\nsq_depth = -1", "[db]\nnope = 1", "segment_rows = 1\n[db]\nsegment_rows = 2", "spdk = 1"):
+        with pytest.raises(ConfigError):
+            config.parse(bad)
+    t = c.open(spark)
+    rows_ = {"timestamp": [1, 2], "symbol": [b"EURUSD  "] * 2, "price": [1.0, 2.0], "volume": [1.0, 1.0]}
+    t.append(batch.batch(spark, c.schema, rows_))
+    assert t.seal_when(c.segment_rows) is None
+    t.append(batch.batch(spark, c.schema, rows_))
+    parts = t.recover_payloads().orderBy("_rec", "_part").collect()
+    whole = [raw.decode_payload(c.schema, bytes(p["payload"])) for p in parts]
+    assert {p["_rec"] for p in parts} == {0, 1} and sum((w["timestamp"] for w in whole), []) == [1, 2, 1, 2]
+    assert t.seal_when(c.segment_rows).row_count == 4 and t.recover_payloads(most=1).count() == 4

@@ -1,17 +1,24 @@
-"""Command line: `python -m tidemark config default|validate`, `python -m tidemark bench`."""
+"""Command line: `python -m tidemark config default|validate`, `doctor`, `bench`.
+
+Exit codes: 0 done, 1 an error, 2 host checks failed, 3 something that Spark does not drive.
+"""
 
 from __future__ import annotations
 
 import argparse
+import json
+import logging
 import sys
 import time
 
-from .errors import TidemarkError
+from . import doctor
+from .errors import DoctorError, TidemarkError, UnsupportedError
 from .sources import config
 
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tidemark")
+    p.add_argument("--trace-json", action="store_true", help="events as lines of JSON on standard error")
     top = p.add_subparsers(dest="command", required=True)
     c = top.add_parser("config").add_subparsers(dest="what", required=True)
     c.add_parser("default").add_argument("--output")
@@ -23,9 +30,21 @@ def main(args: list[str] | None = None) -> int:
     b.add_argument("--scan-iterations", type=int, default=10)
     b.add_argument("--compact", action="store_true")
     b.add_argument("--history")
+    b.add_argument("--backend", choices=("table", "uring", "spdk", "dpdk"), default="table")
+    d = top.add_parser("doctor", help="check the host")
+    d.add_argument("--require-hugepages", action="store_true")
+    d.add_argument("--folder", action="append", default=[], help="must be there")
+    d.add_argument("--pci", action="append", default=[], help="a device's address")
     x = p.parse_args(args)
+    trace(x.trace_json)
     try:
-        if x.command == "bench":
+        if x.command == "doctor":
+            failed = doctor.report(doctor.checks(x.require_hugepages, x.folder, x.pci))
+            if failed:
+                raise DoctorError(f"{failed} host checks failed")
+        elif x.command == "bench" and x.backend != "table":
+            raise UnsupportedError(f"{x.backend} has no counterpart on Spark")
+        elif x.command == "bench":
             bench(x)
         elif x.what == "default":
             text = config.to_toml(config.Config())
@@ -39,10 +58,22 @@ def main(args: list[str] | None = None) -> int:
             print(f"{x.file}: valid")
     except (TidemarkError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
-        return 1
+        return 2 if isinstance(e, DoctorError) else 3 if isinstance(e, UnsupportedError) else 1
     return 0
 
 
+LOG = logging.getLogger("tidemark")
+
+
+def trace(as_json: bool) -> None:
+    """Events to standard error, as lines of JSON or of text."""
+    line = logging.StreamHandler()
+    if as_json:
+        line.format = lambda r: json.dumps({"timestamp": r.created, "level": r.levelname, "message": r.getMessage(), "fields": getattr(r, "fields", {})})
+    LOG.handlers = [line]
+    LOG.setLevel(logging.INFO if as_json else logging.WARNING)
+
+
 def bench(x: argparse.Namespace) -> None:
     """Each phase prints its rate; with a history file also the change since the last run."""
     from pyspark.sql import SparkSession, functions as F
@@ -59,6 +90,7 @@ def bench(x: argparse.Namespace) -> None:
         began = time.perf_counter()
         units = run()
         seconds = max(time.perf_counter() - began, sys.float_info.epsilon)
+        LOG.info(name, extra={"fields": {"units": units, "unit": unit, "seconds": seconds}})
         print(f"{name}: {units} {unit} in {seconds:.3f} s, {units / seconds:.1f} a second")
         if x.history:
             row = (name, unit, units, None, int(seconds * 1000), units / seconds, None, [("rows_per_batch", x.rows_per_batch), ("batches", x.batches)], time.time_ns() // 1_000_000)

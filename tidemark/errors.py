@@ -27,3 +27,11 @@ class LogError(TidemarkError, ValueError):
 
 class ConfigError(TidemarkError, ValueError):
     """A configuration has unknown keys or values out of range."""
+
+
+class UnsupportedError(TidemarkError):
+    """Something that needs devices which Spark does not drive."""
+
+
+class DoctorError(TidemarkError):
+    """Host checks failed; its text says how many."""

@@ -50,3 +50,25 @@ def prune(stats: DataFrame, start: int, end: int) -> DataFrame:
 def missing_segments(spark: SparkSession, requested: Sequence[int], present: DataFrame) -> DataFrame:
     """Requested ids that are not present."""
     return spark.createDataFrame([(i,) for i in set(requested)], "segment_id long").join(present, "segment_id", "left_anti")
+
+
+def differences(a: DataFrame, b: DataFrame, position: str) -> DataFrame:
+    """Positions at which two results differ (none: they are equal in order), with where they differ.
+
+    Names, order and types must agree.  Values are compared, not how they are
+    stored; not-a-number equals nothing, itself included; nulls are equal.
+    """
+    if [(f.name, f.dataType) for f in a.schema] != [(f.name, f.dataType) for f in b.schema]:
+        raise BatchError(f"results differ: {a.schema.simpleString()} and {b.schema.simpleString()}")
+    values = [f for f in a.schema.fields if f.name != position]
+    packed = lambda df, name: df.select(position, F.struct(*[f"`{f.name}`" for f in values]).alias(name))
+    joined = packed(a, "_a").join(packed(b, "_b"), position, "full")
+
+    def differs(f) -> Column:
+        x, y = F.col("_a").getField(f.name), F.col("_b").getField(f.name)
+        other = ~x.eqNullSafe(y)
+        return other | F.coalesce(F.isnan(x), F.lit(False)) if f.dataType.typeName() in ("double", "float") else other
+
+    named = F.array_compact(F.array(*[F.when(differs(f), F.lit(f.name)) for f in values]))
+    where = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.array(F.lit("missing"))).otherwise(named)
+    return joined.select(position, where.alias("columns")).where(F.size("columns") > 0)

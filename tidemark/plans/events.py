@@ -215,3 +215,12 @@ FROM (SELECT event_type AS benchmark, event_id AS line_no, value AS rate_per_sec
 def history_delta(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("benchmark"), F.col("event_id").alias("line_no"), F.col("value").alias("rate_per_sec"))
     return history.deltas(df, "benchmark", F.col("line_no"), "rate_per_sec")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'missing' WHEN event_id % 11 = 0 THEN 'user_id,value' ELSE 'user_id' END AS columns FROM events WHERE event_id % 13 = 0 OR event_id % 11 = 0 OR event_id % 17 = 0")
+def rows_differ(spark, sf_dir):
+    """Events against a copy of which some rows are changed or gone."""
+    e = F.col("event_id")
+    a = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
+    user, value = F.when((e % 11 == 0) | (e % 17 == 0), F.col("user_id") + 1).otherwise(F.col("user_id")), F.when(e % 11 == 0, F.coalesce("value", F.lit(0.0)) + 1).otherwise(F.col("value"))
+    return rows.differences(a, a.select("event_id", user.alias("user_id"), value.alias("value")).where(e % 13 != 0), "event_id").withColumn("columns", F.array_join("columns", ","))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import packets as K, scalars as S
+from ..functions import devices as D, packets as K, scalars as S
+from ..streaming import bursts
 
 QUERIES, SQL = {}, {}
 
@@ -184,3 +185,35 @@ def pkt_udp_only(spark, sf_dir):
 @query(_FRAMES + "SELECT event_id FROM x WHERE udp AND substr(h, 61, 8) = 'EF010203' AND substr(h, 73, 4) = '2328'")
 def pkt_multicast_filter(spark, sf_dir):
     return frames(spark, sf_dir).where(K.in_group(F.col("frame"), "239.1.2.3", 9000)).select("event_id")
+
+
+@query(
+    """WITH r AS (SELECT event_id, event_id % 10 = 0 AS port, user_id % 5 AS nsid, event_id % 300 * 256 AS o, (user_id % 20) * 512 AS n FROM events),
+s AS (SELECT * FROM (VALUES (1, 512, 100, 8192), (2, 256, 400, 4096), (3, 512, 4096, 65536)) v(nsid, sector, capacity, most)),
+e AS (SELECT r.*, sector, CASE WHEN port THEN 'InvalidTarget' WHEN sector IS NULL THEN 'NamespaceNotFound' WHEN n = 0 THEN 'ZeroLength' WHEN n > most THEN 'TooLarge'
+  WHEN o % sector <> 0 OR n % sector <> 0 THEN 'Unaligned' WHEN o // sector + n // sector > capacity THEN 'OutOfRange' END AS error FROM r LEFT JOIN s ON s.nsid = r.nsid)
+SELECT event_id, nsid, error, CASE WHEN error IS NULL THEN o // sector END AS lba, CASE WHEN error IS NULL THEN n // sector END AS blocks, CASE WHEN error IS NULL THEN 4::BIGINT END AS queue FROM e"""
+)
+def io_admission(spark, sf_dir):
+    e, u = F.col("event_id"), F.col("user_id")
+    asked = _events(spark, sf_dir).select("event_id", F.when(e % 10 == 0, "port").otherwise("namespace").alias("kind"), (u % 5).alias("nsid"), (e % 300 * 256).alias("offset"), (u % 20 * 512).alias("length"))
+    spaces = spark.createDataFrame([(1, 512, 100, 8192), (2, 256, 400, 4096), (3, 512, 4096, 65536)], "nsid long, sector_size long, capacity long, max_io_size long")
+    got = D.admit(asked, spaces, spark.createDataFrame([(7,), (4,)], "queue_id long"))
+    return got.select("event_id", "nsid", "error", "lba", F.col("count").alias("blocks"), "queue")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'nsid' WHEN user_id % 3 = 0 THEN 'sector_size' WHEN user_id % 5 = 0 THEN 'capacity' WHEN event_id % 7 = 0 THEN 'max_io_size' END AS error FROM events")
+def fn_namespace_error(spark, sf_dir):
+    e, u = F.col("event_id"), F.col("user_id")
+    return _events(spark, sf_dir).select("event_id", D.namespace_error(e % 4, u % 3, u % 5, e % 7).alias("error"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 6 >= 4 THEN 'InvalidQueue' END AS queue, CASE WHEN event_id % 3 = 0 THEN 'InvalidTarget' WHEN user_id % 2 = 1 THEN 'PortMismatch' END AS port FROM events")
+def fn_queue_error(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 3 != 0, "port")
+    return _events(spark, sf_dir).select("event_id", D.queue_error(F.col("user_id") % 6, F.lit(4)).alias("queue"), D.port_error(kind, F.col("user_id") % 2, F.lit(0)).alias("port"))
+
+
+@query(_FRAMES + "SELECT (event_id % 4)::INT AS queue, count(*) AS packets, sum(n)::BIGINT AS bytes FROM x GROUP BY 1")
+def pkt_sent(spark, sf_dir):
+    return bursts.sent(frames(spark, sf_dir).select((F.col("event_id") % 4).cast("int").alias("queue"), F.col("frame").alias("packet")))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import TableSchema
 from ..sources.generate import trades
+from ..sources.raw import encode_payload
 from ..sources.table import Table
 from .events import DAY, NEXT_DAY, SCHEMA, _SHOWN, events, shown
 
@@ -102,6 +103,16 @@ def recover_records(spark, sf_dir):
     return t.recover_records().withColumnRenamed("_rec", "record")
 
 
+@query("SELECT event_id % 3 AS record, count(*) AS rows, count(*) * 44 AS value_bytes FROM events GROUP BY 1")
+def recover_payloads(spark, sf_dir):
+    """The log as bytes: rows, and bytes of values (four numbers, and eight bytes with their length)."""
+    t = _open(spark)
+    for b in _batches(spark, sf_dir):
+        t.append(b)
+    head = len(encode_payload(SCHEMA, {c: [] for c in SCHEMA.names}))
+    return t.recover_payloads().groupBy(F.col("_rec").alias("record")).agg(F.sum("rows").alias("rows"), F.sum(F.octet_length("payload") - head).cast("long").alias("value_bytes"))
+
+
 def _compacted(spark, sf_dir) -> Table:
     t = _open(spark)
     for b in _batches(spark, sf_dir):

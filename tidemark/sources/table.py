@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.errors import PySparkException
 
@@ -109,6 +110,10 @@ class Table:
         self.manifest.store(self.store)
         return made
 
+    def seal_when(self, rows: int) -> SegmentRef | None:
+        """Flush if so many rows, or more, are in no segment yet."""
+        return self.flush() if self.row_count >= rows else None
+
     def _seal(self, rows: DataFrame) -> SegmentRef | None:
         """Write a segment and take the next id; the manifest is stored by the caller."""
         number, t = self.manifest.next_segment_id, f"`{self.schema.time_column}`"
@@ -196,6 +201,31 @@ class Table:
         """All log records ever written, sealed or not: `_rec`, rows and files."""
         return self._log().groupBy("_rec").agg(F.count("*").alias("rows"))
 
+    def recover_payloads(self, first: int = 0, most: int = 4096) -> DataFrame:
+        """Log records as bytes: `_rec`, `_part` (payloads of one record, in their order), rows, payload.
+
+        A record is as many payloads as it needs to have at most `most` rows in each,
+        so that no task holds a whole record; see `raw.decode_payload` for the bytes.
+        """
+        from . import raw
+
+        schema = T.StructType([T.StructField("_rec", T.LongType()), T.StructField("_part", T.LongType()), T.StructField("rows", T.LongType()), T.StructField("payload", T.BinaryType())])
+
+        def run(batches):
+            for x in batches:
+                rec, row = x.column("_rec").to_pylist(), x.column("_row").to_pylist()
+                a = 0
+                while a < x.num_rows:
+                    b = a + 1
+                    while b < min(x.num_rows, a + most) and rec[b] == rec[a]:
+                        b += 1
+                    columns = {c: x.column(c).slice(a, b - a).to_pylist() for c in self_schema.names}
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((rec[a], pa.int64()), (row[a], pa.int64()), (b - a, pa.int64()), (raw.encode_payload(self_schema, columns), pa.binary()))], schema.names)
+                    a = b
+
+        self_schema = self.schema
+        return self._log(first).mapInArrow(run, schema)
+
     def recover_batches(self, first: int = 0, ordered: bool = False) -> DataFrame:
         """Rows of the log from record `first` on, with `_rec`."""
         df = self._log(first)
