@@ -8,12 +8,12 @@ nearest by cosine.  A text further from it than nearly all of that centroid's
 own members is marked as rejected.
 
 idf counts every training row.  Centroids are fitted on at most SAMPLE rows a
-language, those with the smallest id hashes; the centroids' size is bounded by
+language, those with the smallest id hashes, of one id the least text; the centroids' size is bounded by
 MAX_LANGUAGES.
 
 Cases: null texts and texts without a letter are `und` with score 0, as is
 everything if there is nothing to learn from; rows with a null lang or id teach
-nothing; texts are read whole; repeated rows get the same answer; an empty table
+nothing, nor does a language whose sample has no letter; texts are read whole; repeated rows get the same answer; an empty table
 gives an empty result.
 """
 
@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -149,17 +148,19 @@ def fit(docs: DataFrame, train: Column) -> Centroids:
     if not limits:
         return Centroids(idf, [], np.zeros((0, CELLS), np.float32), np.zeros(0))
     sample = rows.join(F.broadcast(spark.createDataFrame(list(limits.items()), "lang string, top long")), "lang").where("h <= top")
+    sample = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))  # at most SAMPLE a language, however often a doc_id is repeated
     known = spark.sparkContext.broadcast(idf)
 
-    def learn(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(t for t in pdf["text"] if _has_letter(t))[: 4 * SAMPLE]
-        if not texts:
-            return pd.DataFrame({"lang": [], "vector": [], "radius": []})
-        v = np.concatenate([_unit(c, known.value) for _, c in counts(pa.array(texts, pa.large_string()))])
-        made = _cluster(v)
-        return pd.DataFrame({"lang": [key[0]] * len(made), "vector": [c.astype(np.float32).tobytes() for c, _ in made], "radius": [r for _, r in made]})
+    schema = _runtime.schema("lang string, vector binary, radius double")
 
-    found = sample.groupBy("lang").applyInPandas(learn, _runtime.schema("lang string, vector binary, radius double")).orderBy("lang", "vector").collect()
+    def learn(rows: pa.Table) -> pa.Table:
+        texts = sorted(t for t in rows.column("text").to_pylist() if _has_letter(t))
+        made = _cluster(np.concatenate([_unit(c, known.value) for _, c in counts(pa.array(texts, pa.large_string()))])) if texts else []
+        lang = rows.column("lang")[0].as_py()
+        columns = [[lang] * len(made), [c.astype(np.float32).tobytes() for c, _ in made], [r for _, r in made]]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.binary(), pa.float64()))], names=schema.names)
+
+    found = sample.groupBy("lang").applyInArrow(learn, schema).orderBy("lang", "vector").collect()
     vectors = np.array([np.frombuffer(r["vector"], np.float32) for r in found]).reshape(-1, CELLS)
     return Centroids(idf, [r["lang"] for r in found], vectors, np.array([r["radius"] for r in found]))
 
