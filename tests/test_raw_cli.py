@@ -1,9 +1,12 @@
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import doctor
+from tidemark import doctor, session
 from tidemark.__main__ import LOG, main
 from tidemark.errors import BatchError, ConfigError, LogError
 from tidemark.functions import devices
@@ -139,3 +142,10 @@ def test_sections(spark, tmp_path):
     whole = [raw.decode_payload(c.schema, bytes(p["payload"])) for p in parts]
     assert {p["_rec"] for p in parts} == {0, 1} and sum((w["timestamp"] for w in whole), []) == [1, 2, 1, 2]
     assert t.seal_when(c.segment_rows).row_count == 4 and t.recover_payloads(most=1).count() == 4
+
+
+def test_archive_imports(tmp_path):
+    path = session.archive()
+    code = "import tidemark.sources.table, tidemark; print(tidemark.__file__)"
+    got = subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONPATH": path}, cwd=tmp_path, capture_output=True, text=True)
+    assert got.returncode == 0 and got.stdout.startswith(path)
