@@ -312,6 +312,14 @@ def test_no_local_folder_on_a_cluster():
 # --- components -----------------------------------------------------------------
 
 
+def test_files_of_a_store_are_mapped(tmp_path, monkeypatch):
+    monkeypatch.setattr(_runtime, "is_local", lambda path: False)
+    for name, data in (("a", bytes(range(256)) * 40_000), ("b", b"")):
+        _runtime.put_file(f"file://{tmp_path}/x/{name}", data)
+        got = _runtime.map_file(f"file://{tmp_path}/x/{name}")
+        assert got.tobytes() == data and (isinstance(got.base, np.memmap) or not data)
+
+
 def test_components(spark, tmp_path):
     r = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(200, 200 + i) for i in range(1, 50)] + [(300, 300)]

@@ -109,7 +109,11 @@ def put_file(path: str, data: bytes) -> None:
 
 
 def map_file(path: str):
-    """The file's bytes: memory-mapped where the shared folder is mounted, else read."""
+    """The file's bytes, memory-mapped.
+
+    Where the shared folder is no mounted one, a nameless copy of the task's own is
+    mapped: it is gone with the mapping, and a task run again makes another.
+    """
     import numpy as np
 
     if is_local(path):
@@ -118,8 +122,11 @@ def map_file(path: str):
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_file(at) as f:
-        return np.frombuffer(f.read(), np.uint8)
+    with store.open_input_stream(at) as f, tempfile.TemporaryFile() as copy:
+        shutil.copyfileobj(f, copy, 4 << 20)
+        size = copy.tell()
+        copy.flush()
+        return np.memmap(copy, dtype=np.uint8, mode="r").view(np.ndarray) if size else np.zeros(0, np.uint8)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
